@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.store import fold
+    from orbweave.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return score(docs, model, fold(F.col("doc_id"), 3) == 1)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.language import identify, learn
     from orbweave.llm.store import fold
@@ -27,6 +37,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs.filter(~held_out)), held_out)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.quality import learn, score
+    from orbweave.llm.store import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return score(docs, model, fold(F.col("doc_id"), 4) == 2)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.packing import pack
 
@@ -35,7 +54,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op6_language_id": op6_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
