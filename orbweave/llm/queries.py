@@ -28,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, fold(F.col("doc_id"), 3) == 1)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.suffix_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.language import identify, learn
     from orbweave.llm.store import fold
@@ -55,6 +61,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_language_id": op6_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
