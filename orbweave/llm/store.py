@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows would hold too many of them at once.
 BATCH_ROWS = 512
+#: Bytes after which a batch is closed.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +49,7 @@ class Written:
 
 
 def ready(spark: SparkSession) -> None:
-    """Before Python runs on executors: give them this package, and bound the rows of an Arrow batch.
+    """Before Python runs on executors: give them this package, and bound the rows and bytes of an Arrow batch.
 
     The package goes to the executors as a zip archive, once a context; a session that asks for smaller
     batches keeps them.
@@ -55,6 +57,8 @@ def ready(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(min(BATCH_BYTES, int(spark.conf.get(key, str(BATCH_BYTES)).rstrip("b")))))
     sc = spark.sparkContext
     if not getattr(sc, "_has_orbweave", False):
         root = Path(__file__).resolve().parents[1]
