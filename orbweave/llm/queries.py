@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.llm import mixing, page_captures
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,6 +57,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs.filter(~held_out)), held_out)
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), repeats=1.25)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.quality import learn, score
     from orbweave.llm.store import fold
@@ -70,6 +78,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.page_captures import resolved
+
+    return resolved(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_hnsw_ann": op2_hnsw_ann,
@@ -77,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_temperature_mixing": mixing.ORACLE,
+    "op10_warc_revisits": page_captures.ORACLE,
+}
