@@ -1 +1 @@
-
+"""Column expressions and tables that the graph operators share."""

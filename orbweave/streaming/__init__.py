@@ -1 +1 @@
-
+"""Empty on purpose: the engine loads a graph once and has no streams, watermarks or late data."""
