@@ -10,8 +10,9 @@ another; all occurrences go. Windows are compared where they are needed only:
    the same ``h``, none of its windows repeats. If another has the same ``c`` too, all of them repeat.
 3. *Edges.* What is left - runs whose anchor repeats but whose bytes differ, at the ends of a repeated
    passage - is compared window by window, with one run of each ``c`` as its partners. Bytes of these runs
-   alone are shuffled, by ``h``. An anchor with very many different runs (``HOT``) doesn't go to one task:
-   its windows' hashes are counted with partial sums instead.
+   alone are shuffled, by ``h``. Runs of an anchor with very many different ones (``HOT``) don't go to one
+   task: each is halved, and what the windows of a half have in common, which is longer than the anchor, is
+   their anchor from then on (``settled``).
 
 Equal texts are one class: their members are removed whole (from LENGTH bytes on), and one of them stands
 for the class when it is compared with others. Counts and statistics cover all texts. Bytes are compared by
@@ -30,12 +31,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from orbweave.llm.store import Written, as_bytes, ready
@@ -203,20 +206,56 @@ def matched(edges: DataFrame, length: int, matcher: Callable[[list[bytes], int],
     return edges.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, i int, j int")
 
 
-def counted(edges: DataFrame, length: int) -> DataFrame:
-    """As ``matched``, for anchors with very many runs: windows are counted by their hashes, in parts and then together."""
+def halves(hot: DataFrame, length: int, k: int) -> DataFrame:
+    """Each run (k1, k2, i, bytes, q, lo, hi) of anchors with many, cut at the middle of the offsets [lo, hi] it was kept for.
+
+    ``q``: how far the anchor is from the first window, -1 if not known yet. All windows of one half have more
+    bytes in common than the anchor, and the hash of these is the new ``h``: windows that are equal still meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "k1", "k2", "i", "bytes")), strict=True):
-                w = windows(np.frombuffer(row[4], np.uint8), length).view(np.int64)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row[0])), pa.array(w), pa.array(np.full(n, row[1])), pa.array(np.full(n, row[2])), pa.array(np.arange(row[3], row[3] + n, dtype=np.int32))], names=["h", "w", "k1", "k2", "i"])
+            out = []
+            for k1, k2, i, text, q, lo, hi in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "i", "bytes", "q", "lo", "hi")), strict=True):
+                n = len(text) - length + 1
+                if q < 0:
+                    q = int(anchors(np.frombuffer(text, np.uint8)[:length], length, k)[0][0])
+                mid = (lo + hi) // 2
+                for x, y in ((lo, mid), (mid + 1, hi)):
+                    t1, t2 = q - min(y, q), q - max(x, q - n + 1)
+                    if x <= y and t1 <= t2:
+                        part = text[t1 : t2 + length]
+                        out.append((_signed(xxh3_64_intdigest(text[q - x : q - y + length], x << 16 | y)), _signed(xxh3_64_intdigest(part)), k1, k2, i + t1, part, q - t1, x, y))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "k1", "k2", "i", "bytes", "q", "lo", "hi"])
+
+    return hot.mapInArrow(run, "h long, c long, k1 long, k2 long, i int, bytes binary, q int, lo int, hi int").withColumn("o", F.xxhash64("k1", "k2", "i"))
 
-    each = Written(edges.select("h", "k1", "k2", "i", "bytes").mapInArrow(run, "h long, w long, k1 long, k2 long, i int"), "windows").df
-    place = F.xxhash64("k1", "k2", "i")
-    twice = each.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "w")
-    return each.join(twice, ["h", "w"], "left_semi").select("k1", "k2", "i", F.col("i").alias("j"))
+
+def marks(run: DataFrame) -> DataFrame:
+    """The runs (h, c, o and others) whose ``h`` repeats, with ``kinds`` (different runs of it), ``whole`` (all its windows repeat) and ``compare`` (to be held against the others)."""
+    by_c = Written(run.groupBy("h", "c").agg(F.count("*").alias("nc"), F.min("o").alias("first")), "contents").df
+    by_h = by_c.groupBy("h").agg(F.sum("nc").alias("nh"), F.count("*").alias("kinds")).filter("nh > 1")
+    stats = by_c.join(by_h, "h").select("h", "c", "nc", "first", "kinds")
+    return run.join(stats, ["h", "c"]).withColumn("whole", F.col("nc") > 1).withColumn("compare", (F.col("kinds") > 1) & (F.col("o") == F.col("first"))).drop("nc", "first", "o")
+
+
+def settled(edges: DataFrame, length: int, k: int, matcher: Callable[[list[bytes], int], list[np.ndarray]]) -> DataFrame:
+    """(k1, k2, i, j): window ranges of the edge runs (h, k1, k2, i, bytes, kinds) that repeat.
+
+    Runs of anchors with more than HOT of them are halved, and what is then common to the windows of a half
+    becomes their anchor, until each has few runs or all its runs are equal; at the latest a half is one window.
+    """
+    found = []
+    pending = edges.select("h", "k1", "k2", "i", "bytes", "kinds", F.lit(-1).alias("q"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"))
+    while True:
+        found.append(matched(pending.filter(F.col("kinds") <= HOT), length, matcher))
+        hot = pending.filter(F.col("kinds") > HOT)
+        if hot.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        marked = Written(marks(Written(halves(hot, length, k), "halves").df), "marked").df
+        found.append(marked.filter("whole").select("k1", "k2", "i", (F.col("i") + F.length("bytes") - length).cast("int").alias("j")))
+        pending = marked.filter("compare").select("h", "k1", "k2", "i", "bytes", "kinds", "q", "lo", "hi")
 
 
 def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -243,10 +282,7 @@ class Repeats:
         self.classes = Written(all_.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes").df
         ones = all_.filter(F.col("n") >= length).join(self.classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
         run = Written(ones.select("doc_id", "k1", "k2", F.explode("runs").alias("r")).select("doc_id", "k1", "k2", "r.*", F.xxhash64("k1", "k2", "r.i").alias("o")), "runs").df
-        by_c = Written(run.groupBy("h", "c").agg(F.count("*").alias("nc"), F.min("o").alias("first")), "contents").df
-        by_h = by_c.groupBy("h").agg(F.sum("nc").alias("nh"), F.count("*").alias("kinds")).filter("nh > 1")
-        stats = by_c.join(by_h, "h").select("h", "c", "nc", "first", "kinds")
-        marked = Written(run.join(stats, ["h", "c"]).select("doc_id", "k1", "k2", "h", "i", "j", "kinds", (F.col("nc") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.col("o") == F.col("first"))).alias("compare")), "marked").df
+        marked = Written(marks(run).select("doc_id", "k1", "k2", "h", "i", "j", "kinds", "whole", "compare"), "marked").df
         asked = marked.filter("compare").groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("h", "i", "j", "kinds")).alias("asked"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +296,7 @@ class Repeats:
                     )
 
         edges = Written(compressed(docs, length).join(asked, ["doc_id", "k1", "k2"]).mapInArrow(cut, "h long, k1 long, k2 long, i int, bytes binary, kinds long"), "edges").df
-        found = matched(edges.filter(F.col("kinds") <= HOT), length, matcher).unionAll(counted(edges.filter(F.col("kinds") > HOT), length)).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
+        found = settled(edges, length, k, matcher).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
         single = found.join(self.classes.filter("copies = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
         self.ranges = Written(single.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "j")).alias("ranges")), "ranges").df
 
@@ -292,6 +328,40 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher) -> DataFrame:
+    """The rows of ``docs``, with all their columns, the removed bytes cut from ``text``.
+
+    Where a cut runs through a character, what is left of it goes too. Null texts stay null.
+    """
+    repeats = Repeats(docs, length, k, matcher)
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [key_of(x) for x in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())], names=[*b.schema.names, "_k1", "_k2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            out = []
+            for text, copied, ranges in zip(b.column(at).to_pylist(), b.column("_copied").to_pylist(), b.column("_ranges").to_pylist(), strict=True):
+                data = text.encode() if text and (copied or ranges) else b""
+                if copied and len(data) >= length:
+                    text = ""
+                elif ranges:
+                    text = kept(data, covered(ranges, length)).decode("utf-8", "ignore")
+                out.append(text)
+            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)][:-2]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+
+    both = T.StructType([*plain.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
+    copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("_copied"))
+    what = copies.join(repeats.ranges.withColumnRenamed("ranges", "_ranges"), ["k1", "k2"], "full").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    joined = plain.mapInArrow(classed, both).join(what, ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges")
+    return joined.mapInArrow(cut, plain.schema)
+
+
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
