@@ -199,27 +199,44 @@ def learn(docs: DataFrame, per_lang: int = 400, seed: int = 6) -> Trees | None:
     return Trees(langs, [(key[of == x], n[of == x]) for x in langs])
 
 
+def named(texts: list[str | None], trees: Trees | None) -> list[tuple[str, float, float | None]]:
+    """Language, score and bits per byte of each text."""
+    plain = [normalized(x) if trees and x and _LETTER.search(x) else b"" for x in texts]
+    bits = trees.lengths(plain) if trees else np.zeros((len(plain), 1))
+    out: list[tuple[str, float, float | None]] = []
+    for n, row in zip(map(len, plain), bits, strict=True):
+        if not n:
+            out.append(("und", 0.0, None))
+            continue
+        k = int(row.argmin())
+        with np.errstate(under="ignore"):
+            odds = np.exp2((row[k] - row) * min(1.0, SCORE_BYTES / n))
+        out.append((trees.langs[k], float(1 / odds.sum()), float(row[k] / n)))
+    return out
+
+
 def identify(docs: DataFrame, trees: Trees | None, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte of each row of ``docs`` (doc_id, text), all texts whole."""
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            plain = [normalized(x) if known and x and _LETTER.search(x) else b"" for x in texts]
-            size = np.array([len(x) for x in plain])
-            lang, score, cost = [], [], []
-            bits = known.lengths(plain) if known else np.zeros((len(plain), 1))
-            for n, row in zip(size, bits, strict=True):
-                if not n:
-                    lang.append("und"), score.append(0.0), cost.append(None)
-                    continue
-                k = int(row.argmin())
-                with np.errstate(under="ignore"):
-                    odds = np.exp2((row[k] - row) * min(1.0, SCORE_BYTES / n))
-                lang.append(known.langs[k]), score.append(float(1 / odds.sum())), cost.append(float(row[k] / n))
+            found = named(b.column(2).to_pylist(), shared.value)
+            lang, score, cost = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
+
+
+def keep(docs: DataFrame, trees: Trees | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language with a score of ``least`` or more."""
+    ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = named(b.column("text").to_pylist(), shared.value)
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

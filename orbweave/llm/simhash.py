@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from orbweave.llm.components import components, contract
@@ -184,6 +185,16 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.v") == F.col("y.v")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & earlier).select("a", "b")
 
 
+def components_of(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id): each distinct fingerprint of ``fps`` (doc_id, fp) and the smallest doc_id it is linked to."""
+    classes = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes").df
+    linked = Written(contract(links(classes.select("fp"), distance).select(F.col("a").alias("u"), F.col("b").alias("v"))), "links").df
+    joined = components(linked)
+    of = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return Written(of.join(least, "component").select("fp", "component_id"), "named").df
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -193,10 +204,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     (then it is null). An empty table gives an empty result.
     """
     fps = Written(fingerprints(docs, words), "fingerprints").df
-    classes = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes").df
-    linked = Written(contract(links(classes.select("fp"), distance).select(F.col("a").alias("u"), F.col("b").alias("v"))), "links").df
-    joined = components(linked)
-    of = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = Written(of.join(least, "component").select("fp", "component_id"), "named").df
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(components_of(fps, distance), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each group of near duplicates in ``docs``, with all its columns: one with the smallest doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x, words) for x in as_bytes(b.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_fp"])
+
+    ready(docs.sparkSession)
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    every = Written(plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_fp", T.LongType())])), "fingerprinted").df
+    own = every.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_fp").alias("fp"))
+    named = components_of(own, distance)
+    first = own.groupBy("doc_id", "fp").agg(F.count("*").alias("rows")).join(named, "fp").filter("doc_id = component_id")
+    chosen = Written(first.groupBy("component_id").agg(F.min("fp").alias("_fp"), F.max("rows").alias("rows")), "chosen").df
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    left = every.withColumn("component_id", key).join(chosen.select("component_id", "_fp"), ["component_id", "_fp"], "left_semi")
+    if not chosen.filter("rows > 1").isEmpty():
+        left = left.dropDuplicates(["component_id", "_fp"])
+    return left.select(*plain.columns)
