@@ -25,7 +25,7 @@ from orbweave.operators.graph import Graph
 from orbweave.operators.program import Direction, Vertex, VertexProgram
 
 #: Rounds planned as one job in a dense run. Each round refers to the previous one twice, so plans double.
-STRIDE = 3
+STRIDE = 4
 
 
 @dataclass
