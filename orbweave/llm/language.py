@@ -33,7 +33,7 @@ from orbweave.llm.store import blocks, ready
 
 ORDER = 4
 SCORE_BYTES = 64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 _LETTER = regex.compile(r"\p{L}")

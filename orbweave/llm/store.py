@@ -8,44 +8,22 @@ cuts the lineage, and keeps partition contents fixed, which the numbering in som
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.functions.tables import Written, shared_dir
+
+__all__ = ["Written", "as_bytes", "below_rate", "blocks", "fold", "ready", "shared_dir"]
+
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows would hold too many of them at once.
 BATCH_ROWS = 512
 #: Bytes after which a batch is closed.
-BATCH_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests, a laptop), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="orbweave-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-class Written:
-    """A table written to the shared folder: ``df`` reads it, ``drop()`` deletes it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/orbweave/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> None:

@@ -18,8 +18,9 @@ Equal texts are one class: their members are removed whole (from LENGTH bytes on
 for the class when it is compared with others. Counts and statistics cover all texts. Bytes are compared by
 128 bits of hashes (anchor and content, or anchor and window).
 
-The suffix array by external induced sorting (``orbweave.llm.induced``) gives the same result for a shard
-and serves as the matcher for edges with ``matcher="induced"``; see the README for why it isn't the default.
+This stands in for a suffix array by external induced sorting, which takes a tuple of position, rank and
+common prefix through a priority queue for every byte; the README says why. ``matcher`` is what finds equal
+windows among the edges that have come together.
 
 Memory: a batch of texts, and of the edges about ``CHUNK`` bytes at a time.
 
@@ -295,7 +296,7 @@ class Repeats:
                         names=["h", "k1", "k2", "i", "bytes", "kinds"],
                     )
 
-        edges = Written(compressed(docs, length).join(asked, ["doc_id", "k1", "k2"]).mapInArrow(cut, "h long, k1 long, k2 long, i int, bytes binary, kinds long"), "edges").df
+        edges = Written(compressed(docs, length).join(asked.hint("merge"), ["doc_id", "k1", "k2"]).mapInArrow(cut, "h long, k1 long, k2 long, i int, bytes binary, kinds long"), "edges").df
         found = settled(edges, length, k, matcher).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
         single = found.join(self.classes.filter("copies = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
         self.ranges = Written(single.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "j")).alias("ranges")), "ranges").df
@@ -315,7 +316,7 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["k1", "k2", "removed", "spans", "rest"])
 
-    cut = Written(compressed(docs, length).join(repeats.ranges, ["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, removed long, spans long, rest string"), "cut").df
+    cut = Written(compressed(docs, length).join(repeats.ranges.hint("merge"), ["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, removed long, spans long, rest string"), "cut").df
     copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("copied"))
     of = repeats.scanned.join(copies.join(cut, ["k1", "k2"], "full"), ["k1", "k2"], "left")
     gone = F.col("copied") & (F.col("n") >= length)
@@ -358,7 +359,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
     both = T.StructType([*plain.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
     copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("_copied"))
     what = copies.join(repeats.ranges.withColumnRenamed("ranges", "_ranges"), ["k1", "k2"], "full").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    joined = plain.mapInArrow(classed, both).join(what, ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges")
+    joined = plain.mapInArrow(classed, both).join(what.hint("merge"), ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges")
     return joined.mapInArrow(cut, plain.schema)
 
 

@@ -29,7 +29,7 @@ from orbweave.llm.store import Written, blocks, ready
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _KEPT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
