@@ -55,14 +55,14 @@ class Plan:
     spent: int
 
 
-def plan(light: DataFrame, entropy: float | None = None, repeats: float | None = None, spend: int | None = None) -> Plan | None:
+def plan(light: DataFrame, entropy: float | None = None, repeats: float | None = None, part: float = 1.0) -> Plan | None:
     """Weights and budgets for ``light`` (doc_id, source, tokens); ``None`` without documents.
 
-    Just one of ``entropy`` (0 to 1) and ``repeats`` (1 or more). ``spend``: tokens to spend, all tokens unless
-    given; with an entropy and no ``spend``, the most at which no document repeats.
+    Just one of ``entropy`` (0 to 1) and ``repeats`` (``part`` or more). ``part``: the tokens to spend, as a
+    share of all tokens; with ``repeats=1`` and less than all, no document is taken twice.
     """
-    if (entropy is None) == (repeats is None):
-        raise ValueError("give one of entropy and repeats")
+    if (entropy is None) == (repeats is None) or (repeats is not None and repeats < part):
+        raise ValueError("give one of entropy and repeats, and repeats of at least part")
     sources = Written(light.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total")), "sources").df
     facts = sources.agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.min("total").alias("least"), F.max("total").alias("most")).first()
     if not facts["n"]:
@@ -79,7 +79,7 @@ def plan(light: DataFrame, entropy: float | None = None, repeats: float | None =
         norm, plog = row[2 * k], row[2 * k + 1]
         if repeats is not None:
             worst = max((facts["least"] / all_tokens) ** (a - 1), (facts["most"] / all_tokens) ** (a - 1)) / norm
-            return worst * ((spend or all_tokens) / all_tokens) <= repeats
+            return worst * part <= repeats
         return math.log(norm) - plog / norm <= entropy * math.log(facts["n"]) + 1e-12
 
     lo, step, exponent = 0.0, 1.0 / GRID, 1.0
@@ -93,8 +93,7 @@ def plan(light: DataFrame, entropy: float | None = None, repeats: float | None =
         lo, step = grid[k - 1], step / GRID
     norm = sources.agg(F.sum(F.pow(share, F.lit(exponent)))).first()[0]
     weighted = sources.withColumn("weight", F.round(F.pow(share, F.lit(exponent)) / F.lit(norm), 12))
-    if spend is None:
-        spend = all_tokens if repeats is not None else int(weighted.agg(F.min(F.floor(F.col("total") / F.col("weight")))).first()[0])
+    spend = int(part * all_tokens)
     budget = F.floor(F.col("weight") * F.lit(float(spend))).cast("long")
     planned = (
         weighted.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("docs") / PER_BLOCK)).cast("long"))
@@ -144,13 +143,13 @@ def dealt(rows: DataFrame, made: Plan, seed: int = 7) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, spend: int | None = None, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, part: float = 1.0, seed: int = 7) -> DataFrame:
     """(source, epoch, block, block_key, doc_id, tokens, place): the documents (doc_id, text, source) taken, in dealt order.
 
     Blocks of an epoch are in the order of block_key; ``place`` counts a block's documents from 1.
     """
     few = Written(light(docs), "light").df
-    made = plan(few, entropy, repeats, spend)
+    made = plan(few, entropy, repeats, part)
     if made is None:
         return few.select("source", F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit("").alias("block_key"), "doc_id", "tokens", F.lit(0).alias("place"))
     inside = Window.partitionBy("source", "epoch", "block").orderBy("doc_key", "tokens")
