@@ -207,23 +207,152 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     return fps.join(components_of(fps, distance), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
-    """One row of each group of near duplicates in ``docs``, with all its columns: one with the smallest doc_id."""
+#: Signs in a long fingerprint: a power of 4.
+SIGNS = 4096
+#: Members of a bucket that are compared with each other at a time.
+TOGETHER = 1024
+
+
+def long_fingerprint(text: bytes, words: int) -> tuple[int, bytes]:
+    """A hash of the text's set of shingles, and SIGNS signs of random projections of that set.
+
+    Shingles are hashed to signed coordinates, and these are mixed by a Hadamard transform: each sign is that
+    of a sum of random signs over all shingles, as a SimHash bit is, at a cost that doesn't grow with SIGNS.
+    """
+    found = text.translate(_LOWER).split()
+    shingles = {b" ".join(found)} if len(found) < words else set(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
+    h = np.sort(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)))
+    at, sign = (h % np.uint64(SIGNS)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
+    v = np.bincount(at, sign, SIGNS).reshape(64, 64)
+    mixed = _HADAMARD @ v @ _HADAMARD
+    return int(np.int64(xxh64_intdigest(h.tobytes(), 5) - (1 << 63))), np.packbits(mixed.ravel() > 0).tobytes()
+
+
+def _hadamard() -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < 64:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
+_HADAMARD = _hadamard()
+
+
+def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Width and number of the partitions of long fingerprints of ``n`` texts.
+
+    Wide enough that unrelated texts share about one value a partition, and so many that a pair of this
+    similarity agrees in one of them with this chance.
+    """
+    width = min(32, max(10, int(np.ceil(np.log2(max(n, 2))))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
+    return width, int(min((SIGNS - 64) // width, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+
+
+def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(u, v): verified links between ``classes`` (k, signs), enough of them to connect each group.
+
+    Pairs are candidates if a partition of their long fingerprints is equal in both: all pairs that differ in
+    fewer bits than there are partitions, by the pigeonhole principle with every threshold 0, and pairs at the
+    similarity with the chance ``recall``. (Thresholds above 0 for a certain find at this distance, a seventh
+    of all bits, would probe a large share of all pairs.) Within a partition's value, each member goes on with
+    its nearest others by 64 signs kept for that, so that a group of n copies gives at most 4n links. All links
+    are verified on all signs. A value that very many share is cut, in another random order for each partition.
+    """
+    n = classes.count()
+    width, parts = partitions(n, similarity, recall)
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(SIGNS * differ + 1.3 * np.sqrt(SIGNS * differ * (1 - differ)))
+    loose = int(64 * differ + 3.5 * np.sqrt(64 * differ * (1 - differ)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(width, dtype=np.int64)
+        for b in batches:
+            k = b.column(0).to_numpy()
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(k), -1)
+            aux = np.ascontiguousarray(raw[:, -8:]).view("<i8")[:, 0]
+            bits = np.unpackbits(raw, axis=1)[:, : width * parts].reshape(len(k), parts, width)
+            value = (bits @ power) | (np.arange(parts, dtype=np.int64) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(k, parts)), pa.array(np.repeat(aux, parts))], names=["value", "k", "aux"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(k: np.ndarray, aux: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = np.bitwise_count((aux[:, None] ^ aux[None]).view(np.uint64)).astype(np.int16)
+            np.fill_diagonal(d, 99)
+            near = np.argpartition(d, min(3, len(k) - 1), 1)[:, :3]
+            near = np.concatenate([near, np.zeros((len(k), 1), near.dtype)], 1)
+            i, c = np.nonzero(np.take_along_axis(d, near, 1) <= loose)
+            j = near[i, c]
+            return np.maximum(k[i], k[j]), np.minimum(k[i], k[j])
+
+        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+
+        def flush(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            out = []
+            for a, b in zip([0, *cut], [*cut, len(rows)], strict=True):
+                for x in range(a, b, TOGETHER):
+                    if min(b, x + TOGETHER) - x > 1:
+                        out.append(pairs(rows[x : min(b, x + TOGETHER), 1], rows[x : min(b, x + TOGETHER), 2]))
+            return out
+
+        def batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+            both = np.unique(np.stack([u, v], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
+
+        for b in batches:
+            rows = np.concatenate([*held, np.stack([b.column(c).to_numpy() for c in ("value", "k", "aux")], 1)])
+            whole = len(rows) if not len(rows) else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if len(rows) - whole >= TOGETHER:  # of a value that goes on, what is complete by itself
+                whole += (len(rows) - whole) // TOGETHER * TOGETHER
+            if whole and (out := flush(rows[:whole])):
+                yield batch(out)
+            held = [rows[whole:]]
+        if out := flush(held[0]) if len(held[0]) else []:
+            yield batch(out)
+
+    ready(classes.sparkSession)
+    rows = classes.select("k", "signs").mapInArrow(emit, "value long, k long, aux long")
+    spread = F.xxhash64("value", "k")
+    asked = Written(rows.repartitionByRange(F.col("value"), spread).sortWithinPartitions(F.col("value"), spread).mapInArrow(meet, "u long, v long"), "candidates").df.distinct()
+    signs = classes.select("k", "signs")
+    both = asked.join(signs.withColumnsRenamed({"k": "u", "signs": "su"}), "u").join(signs.withColumnsRenamed({"k": "v", "signs": "sv"}), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("su", "sv"))
+            ok = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
+
+    return Written(both.mapInArrow(verify, "u long, v long"), "verified").df
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """One row of each group of near duplicates in ``docs``, with all its columns: one with the smallest doc_id.
+
+    Near duplicates have shingle sets of this Jaccard similarity or more (estimated within about 0.02), or are
+    linked by such. Texts without words are one group. A null doc_id counts as the largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x, words) for x in as_bytes(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_fp"])
+            found = [long_fingerprint(x, words) for x in as_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "th", "k", "signs"])
 
     ready(docs.sparkSession)
-    plain = docs.withColumn("text", F.col("text").cast("string"))
-    every = Written(plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_fp", T.LongType())])), "fingerprinted").df
-    own = every.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_fp").alias("fp"))
-    named = components_of(own, distance)
-    first = own.groupBy("doc_id", "fp").agg(F.count("*").alias("rows")).join(named, "fp").filter("doc_id = component_id")
-    chosen = Written(first.groupBy("component_id").agg(F.min("fp").alias("_fp"), F.max("rows").alias("rows")), "chosen").df
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    left = every.withColumn("component_id", key).join(chosen.select("component_id", "_fp"), ["component_id", "_fp"], "left_semi")
-    if not chosen.filter("rows > 1").isEmpty():
-        left = left.dropDuplicates(["component_id", "_fp"])
-    return left.select(*plain.columns)
+    text = F.col("text").cast("string")
+    key, of_text = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
+    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary"), "fingerprinted").df
+    classes = Written(rows.groupBy("k").agg(F.min("id").alias("id")), "classes").df
+    reps = rows.join(classes, ["k", "id"], "left_semi")
+    signs = Written(reps.dropDuplicates(["k"]).select("k", "signs"), "signs")
+    joined = components(similar(signs.df, similarity, recall))
+    signs.drop()
+    of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
+    chosen = Written(rows.select("id", "k", "th").join(best, ["id", "k"]).groupBy("id", "k").agg(F.min("th").alias("th")).select("id", "th"), "chosen").df
+    left = docs.withColumns({"_id": key, "_th": of_text}).join(chosen.withColumnsRenamed({"id": "_id", "th": "_th"}), ["_id", "_th"], "left_semi")
+    if not rows.join(chosen, ["id", "th"], "left_semi").groupBy("id", "th").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["_id", "_th"])
+    return left.select(*docs.columns)

@@ -277,13 +277,17 @@ class Repeats:
     ``ranges``: k1, k2, ranges - of each class with one member that has any, the window ranges that repeat.
     """
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher):
-        all_ = Written(scan(docs, length, k), "scan").df
+    def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher, keep_scan: bool = True):
+        scanned = Written(scan(docs, length, k), "scan")
+        all_ = scanned.df
         self.scanned = all_.drop("runs")
         self.classes = Written(all_.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes").df
         ones = all_.filter(F.col("n") >= length).join(self.classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-        run = Written(ones.select("doc_id", "k1", "k2", F.explode("runs").alias("r")).select("doc_id", "k1", "k2", "r.*", F.xxhash64("k1", "k2", "r.i").alias("o")), "runs").df
-        marked = Written(marks(run).select("doc_id", "k1", "k2", "h", "i", "j", "kinds", "whole", "compare"), "marked").df
+        run = Written(ones.select("doc_id", "k1", "k2", F.explode("runs").alias("r")).select("doc_id", "k1", "k2", "r.*", F.xxhash64("k1", "k2", "r.i").alias("o")), "runs")
+        if not keep_scan:
+            scanned.drop()
+        marked = Written(marks(run.df).select("doc_id", "k1", "k2", "h", "i", "j", "kinds", "whole", "compare"), "marked").df
+        run.drop()
         asked = marked.filter("compare").groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("h", "i", "j", "kinds")).alias("asked"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +338,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
 
     Where a cut runs through a character, what is left of it goes too. Null texts stay null.
     """
-    repeats = Repeats(docs, length, k, matcher)
+    repeats = Repeats(docs, length, k, matcher, keep_scan=False)
     plain = docs.withColumn("text", F.col("text").cast("string"))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
