@@ -77,19 +77,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): each node of ``edges`` (u, v) and the smallest node reachable from it.
 
+    After only so many ``rounds``, if given, components may still be in parts: a node may have several rows,
+    each naming a smaller node of its component, and only equal names say that two nodes are connected.
+
     Direction, repeats and loops don't matter; a node that has only loops isn't listed; null ends are
     ignored. An empty table gives an empty result.
     """
     now = Written(contract(edges), "edges")
-    last = None
+    last, done = None, 0
     while True:
         state = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not state["n"] or state == last:
+        if not state["n"] or state == last or done == rounds:
             return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().unionAll(now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last = state
+        last, done = state, done + 1
         for large in (True, False):
             step = Written(contract(_star(now.df, large)).distinct(), "edges")
             now.drop()

@@ -246,7 +246,7 @@ def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """
     width = min(32, max(10, int(np.ceil(np.log2(max(n, 2))))))
     agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
-    return width, int(min((SIGNS - 64) // width, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+    return width, int(min((SIGNS - 128) // width, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
 
 
 def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -255,45 +255,65 @@ def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
     Pairs are candidates if a partition of their long fingerprints is equal in both: all pairs that differ in
     fewer bits than there are partitions, by the pigeonhole principle with every threshold 0, and pairs at the
     similarity with the chance ``recall``. (Thresholds above 0 for a certain find at this distance, a seventh
-    of all bits, would probe a large share of all pairs.) Within a partition's value, each member goes on with
-    its nearest others by 64 signs kept for that, so that a group of n copies gives at most 4n links. All links
-    are verified on all signs. A value that very many share is cut, in another random order for each partition.
+    of all bits, would probe a large share of all pairs.) Partitions are probed in two passes: what a few of
+    them link is joined first, and the rest then looks only for pairs that aren't joined yet, so that a group
+    of n copies gives some multiple of n links and its borderline members are still asked for everywhere.
     """
     n = classes.count()
     width, parts = partitions(n, similarity, recall)
+    first = -(-parts // 6)
+    labelled = classes.select("k", "signs", F.col("k").alias("label"))
+    links = probed(labelled, similarity, width, 0, first)
+    if first == parts:
+        return links
+    joined = components(links, rounds=1).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("component"))
+    labelled = classes.join(joined, "k", "left").select("k", "signs", F.coalesce("component", "k").alias("label"))
+    return links.unionAll(probed(labelled, similarity, width, first, parts))
+
+
+def probed(classes: DataFrame, similarity: float, width: int, start: int, stop: int) -> DataFrame:
+    """(u, v): verified links between ``classes`` (k, signs, label) of different labels that share one of these partitions.
+
+    Within a partition's value, each member goes on with its nearest others by 128 signs kept for that, and with
+    the nearest of those before it in a random order. A value that very many share is cut. All links are
+    verified on all signs.
+    """
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(SIGNS * differ + 1.3 * np.sqrt(SIGNS * differ * (1 - differ)))
-    loose = int(64 * differ + 3.5 * np.sqrt(64 * differ * (1 - differ)))
+    loose = int(128 * differ + 2.6 * np.sqrt(128 * differ * (1 - differ)))
+    parts = stop - start
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(width, dtype=np.int64)
         for b in batches:
-            k = b.column(0).to_numpy()
+            k, label = b.column(0).to_numpy(), b.column(2).to_numpy()
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(k), -1)
-            aux = np.ascontiguousarray(raw[:, -8:]).view("<i8")[:, 0]
-            bits = np.unpackbits(raw, axis=1)[:, : width * parts].reshape(len(k), parts, width)
-            value = (bits @ power) | (np.arange(parts, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), pa.array(np.repeat(k, parts)), pa.array(np.repeat(aux, parts))], names=["value", "k", "aux"])
+            aux = np.ascontiguousarray(raw[:, -16:]).view("<i8")
+            bits = np.unpackbits(raw, axis=1)[:, width * start : width * stop].reshape(len(k), parts, width)
+            value = (bits @ power) | (np.arange(start, stop, dtype=np.int64) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, parts)) for x in (k, aux[:, 0], aux[:, 1], label))], names=["value", "k", "aux", "aux2", "label"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(k: np.ndarray, aux: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = np.bitwise_count((aux[:, None] ^ aux[None]).view(np.uint64)).astype(np.int16)
-            np.fill_diagonal(d, 99)
-            near = np.argpartition(d, min(3, len(k) - 1), 1)[:, :3]
-            near = np.concatenate([near, np.zeros((len(k), 1), near.dtype)], 1)
+        def pairs(k: np.ndarray, aux: np.ndarray, aux2: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = sum(np.bitwise_count((x[:, None] ^ x[None]).view(np.uint64)).astype(np.int16) for x in (aux, aux2))
+            d[label[:, None] == label[None]] = 999
+            near = np.argpartition(d, min(2, len(k) - 1), 1)[:, :2]
+            earlier = np.where(np.tri(len(k), k=-1, dtype=bool), d, 999).argmin(1)
+            near = np.concatenate([near, earlier[:, None]], 1)
             i, c = np.nonzero(np.take_along_axis(d, near, 1) <= loose)
             j = near[i, c]
             return np.maximum(k[i], k[j]), np.minimum(k[i], k[j])
 
-        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        held: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
 
         def flush(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
             out = []
             for a, b in zip([0, *cut], [*cut, len(rows)], strict=True):
                 for x in range(a, b, TOGETHER):
-                    if min(b, x + TOGETHER) - x > 1:
-                        out.append(pairs(rows[x : min(b, x + TOGETHER), 1], rows[x : min(b, x + TOGETHER), 2]))
+                    y = min(b, x + TOGETHER)
+                    if y - x > 1 and (rows[x:y, 4] != rows[x, 4]).any():
+                        out.append(pairs(*rows[x:y, 1:].T))
             return out
 
         def batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -302,7 +322,7 @@ def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
 
         for b in batches:
-            rows = np.concatenate([*held, np.stack([b.column(c).to_numpy() for c in ("value", "k", "aux")], 1)])
+            rows = np.concatenate([*held, np.stack([b.column(c).to_numpy() for c in ("value", "k", "aux", "aux2", "label")], 1)])
             whole = len(rows) if not len(rows) else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if len(rows) - whole >= TOGETHER:  # of a value that goes on, what is complete by itself
                 whole += (len(rows) - whole) // TOGETHER * TOGETHER
@@ -313,7 +333,7 @@ def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
             yield batch(out)
 
     ready(classes.sparkSession)
-    rows = classes.select("k", "signs").mapInArrow(emit, "value long, k long, aux long")
+    rows = classes.select("k", "signs", "label").mapInArrow(emit, "value long, k long, aux long, aux2 long, label long")
     spread = F.xxhash64("value", "k")
     asked = Written(rows.repartitionByRange(F.col("value"), spread).sortWithinPartitions(F.col("value"), spread).mapInArrow(meet, "u long, v long"), "candidates").df.distinct()
     signs = classes.select("k", "signs")

@@ -11,8 +11,8 @@ another; all occurrences go. Windows are compared where they are needed only:
 3. *Edges.* What is left - runs whose anchor repeats but whose bytes differ, at the ends of a repeated
    passage - is compared window by window, with one run of each ``c`` as its partners. Bytes of these runs
    alone are shuffled, by ``h``. Runs of an anchor with very many different ones (``HOT``) don't go to one
-   task: each is halved, and what the windows of a half have in common, which is longer than the anchor, is
-   their anchor from then on (``settled``).
+   task: each is cut in ``PARTS``, and what the windows of a part have in common, which is longer than the
+   anchor, is their anchor from then on (``settled``).
 
 Equal texts are one class: their members are removed whole (from LENGTH bytes on), and one of them stands
 for the class when it is compared with others. Counts and statistics cover all texts. Bytes are compared by
@@ -46,8 +46,8 @@ from orbweave.llm.store import Written, as_bytes, ready
 
 LENGTH = 400
 K = 128
-#: Anchors with more different runs than this are compared by counting their windows.
-HOT = 256
+#: Runs of an anchor that has more different ones than this are cut before they are compared, in so many parts.
+HOT, PARTS = 256, 4
 CHUNK = 4 << 20
 BLOCK = 1 << 18
 
@@ -207,10 +207,10 @@ def matched(edges: DataFrame, length: int, matcher: Callable[[list[bytes], int],
     return edges.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, i int, j int")
 
 
-def halves(hot: DataFrame, length: int, k: int) -> DataFrame:
-    """Each run (k1, k2, i, bytes, q, lo, hi) of anchors with many, cut at the middle of the offsets [lo, hi] it was kept for.
+def parted(hot: DataFrame, length: int, k: int) -> DataFrame:
+    """Each run (k1, k2, i, bytes, q, lo, hi) of anchors with many, by quarters of the offsets [lo, hi] it was kept for.
 
-    ``q``: how far the anchor is from the first window, -1 if not known yet. All windows of one half have more
+    ``q``: how far the anchor is from the first window, -1 if not known yet. All windows of one part have more
     bytes in common than the anchor, and the hash of these is the new ``h``: windows that are equal still meet.
     """
 
@@ -221,8 +221,8 @@ def halves(hot: DataFrame, length: int, k: int) -> DataFrame:
                 n = len(text) - length + 1
                 if q < 0:
                     q = int(anchors(np.frombuffer(text, np.uint8)[:length], length, k)[0][0])
-                mid = (lo + hi) // 2
-                for x, y in ((lo, mid), (mid + 1, hi)):
+                cuts = [lo + (hi + 1 - lo) * p // PARTS for p in range(PARTS + 1)]
+                for x, y in zip(cuts, (c - 1 for c in cuts[1:]), strict=False):
                     t1, t2 = q - min(y, q), q - max(x, q - n + 1)
                     if x <= y and t1 <= t2:
                         part = text[t1 : t2 + length]
@@ -244,18 +244,18 @@ def marks(run: DataFrame) -> DataFrame:
 def settled(edges: DataFrame, length: int, k: int, matcher: Callable[[list[bytes], int], list[np.ndarray]]) -> DataFrame:
     """(k1, k2, i, j): window ranges of the edge runs (h, k1, k2, i, bytes, kinds) that repeat.
 
-    Runs of anchors with more than HOT of them are halved, and what is then common to the windows of a half
-    becomes their anchor, until each has few runs or all its runs are equal; at the latest a half is one window.
+    Runs of anchors with more than HOT of them are cut, and what is then common to the windows of a part
+    becomes their anchor, until each has few runs or all its runs are equal; at the latest a part is one window.
     """
-    found = []
+    few, whole = [], []
     pending = edges.select("h", "k1", "k2", "i", "bytes", "kinds", F.lit(-1).alias("q"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"))
     while True:
-        found.append(matched(pending.filter(F.col("kinds") <= HOT), length, matcher))
+        few.append(pending.filter(F.col("kinds") <= HOT).select("h", "k1", "k2", "i", "bytes"))
         hot = pending.filter(F.col("kinds") > HOT)
         if hot.isEmpty():
-            return reduce(DataFrame.unionAll, found)
-        marked = Written(marks(Written(halves(hot, length, k), "halves").df), "marked").df
-        found.append(marked.filter("whole").select("k1", "k2", "i", (F.col("i") + F.length("bytes") - length).cast("int").alias("j")))
+            return reduce(DataFrame.unionAll, whole, matched(reduce(DataFrame.unionAll, few), length, matcher))
+        marked = Written(marks(Written(parted(hot, length, k), "parts").df), "marked").df
+        whole.append(marked.filter("whole").select("k1", "k2", "i", (F.col("i") + F.length("bytes") - length).cast("int").alias("j")))
         pending = marked.filter("compare").select("h", "k1", "k2", "i", "bytes", "kinds", "q", "lo", "hi")
 
 
