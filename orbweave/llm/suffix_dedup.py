@@ -19,8 +19,9 @@ for the class when it is compared with others. Counts and statistics cover all t
 128 bits of hashes (anchor and content, or anchor and window).
 
 This stands in for a suffix array by external induced sorting, which takes a tuple of position, rank and
-common prefix through a priority queue for every byte; the README says why. ``matcher`` is what finds equal
-windows among the edges that have come together.
+common prefix through a priority queue for every byte; the README says why, with figures. ``matcher`` is what
+finds equal windows among the edges that have come together: by hashes, or by that suffix array
+(``induced.matcher``), with the same result.
 
 Memory: a batch of texts, and of the edges about ``CHUNK`` bytes at a time.
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from orbweave.llm import suffix_dedup
+from orbweave.llm import induced, suffix_dedup
 from orbweave.llm.suffix_dedup import digest, without_repeats
 
 LENGTH, K = 40, 16
@@ -35,12 +35,12 @@ def corpus():
     return [*texts, texts[0], texts[0], None, "", "short", "short", "ab" * 100, "For " * 60, "x" * 39, "x" * 40]
 
 
-@pytest.mark.parametrize("hot", [2, 256])
-def test_digest_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "matcher"), [(2, suffix_dedup.hashed_matcher), (256, suffix_dedup.hashed_matcher), (256, induced.matcher)])
+def test_digest_against_brute_force(spark, monkeypatch, hot, matcher):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = corpus()
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, k1 string").repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in digest(df, LENGTH, K).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in digest(df, LENGTH, K, matcher).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
     want = brute([(t or "").encode() for t in texts], LENGTH)
     for k, (n, removed, spans, rest) in enumerate(want):
         assert got[k] == (n, removed, spans, hashlib.sha256(rest).hexdigest()), texts[k]
