@@ -23,6 +23,10 @@ common prefix through a priority queue for every byte; the README says why, with
 finds equal windows among the edges that have come together: by hashes, or by that suffix array
 (``induced.matcher``), with the same result.
 
+Windows can also be of words (``unit`` is ``np.uint64``, a hash of each word; blanks between words don't count): then
+lengths, places and anchors are in words, and the rest is the same. ``without_repeats`` can remove both kinds at once,
+each found in the texts as they were.
+
 Memory: a batch of texts, and of the edges about ``CHUNK`` bytes at a time.
 
 Edge cases: null texts count as empty; texts under LENGTH bytes keep everything but can't hold a match;
@@ -32,8 +36,9 @@ repeated rows are copies; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ from orbweave.llm.store import Written, as_bytes, ready
 
 LENGTH = 400
 K = 128
+#: Words in the anchor of a window of words.
+WORDS_K = 16
 #: Runs of an anchor that has more different ones than this are cut before they are compared, in so many parts.
 HOT, PARTS = 256, 4
 CHUNK = 4 << 20
@@ -67,12 +74,21 @@ def key_of(text: bytes) -> tuple[int, int]:
     return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
 
 
+def units(text: bytes, unit: type) -> np.ndarray:
+    """What windows are made of: the bytes of a text, or hashes of its words."""
+    if unit is np.uint8:
+        return np.frombuffer(text, np.uint8)
+    return np.array([xxh3_64_intdigest(x) for x in text.split()], np.uint64)
+
+
 def strings(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the ``size`` bytes (a power of two, 8 at least) from each position on."""
+    """A 64-bit hash of the ``size`` units (a power of two, 8 at least) from each position on."""
     g = data.astype(np.uint64)
-    for s in (1, 2, 4):
-        g = g[:-s] | (g[s:] << np.uint64(8 * s))
-    s = 8
+    s = 1
+    if data.dtype == np.uint8:
+        for s in (1, 2, 4):
+            g = g[:-s] | (g[s:] << np.uint64(8 * s))
+        s = 8
     while s < size:
         x, y = g * _M1, g[s:] * _M2
         x ^= x >> np.uint64(29)
@@ -84,7 +100,7 @@ def strings(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes from each position on."""
+    """A 64-bit hash of the ``length`` units from each position on."""
     size = 8
     while 2 * size <= length:
         size *= 2
@@ -114,30 +130,32 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(at), np.concatenate(of)
 
 
-def runs(text: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h, c, and first and last window of each run of a text."""
-    if len(text) < length:
+def runs(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h, c, and first and last window of each run of a text's units."""
+    if len(data) < length:
         return (np.zeros(0, np.int64),) * 4
-    at, h = anchors(np.frombuffer(text, np.uint8), length, k)
+    at, h = anchors(data, length, k)
     i = np.flatnonzero(np.diff(at, prepend=-1))
     j = np.append(i[1:], len(at)) - 1
-    c = np.array([xxh3_64_intdigest(text[a : b + length]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.uint64)
+    text, size = data.tobytes(), data.itemsize
+    c = np.array([xxh3_64_intdigest(text[a * size : (b + length) * size]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.uint64)
     return h[i].view(np.int64), c.view(np.int64), i, j
 
 
-def scan(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, k1, k2, n, sha, runs) of each row."""
+def scan(docs: DataFrame, length: int, k: int, unit: type = np.uint8) -> DataFrame:
+    """(doc_id, k1, k2, n, sha, runs) of each row; ``n``: its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(1))
-            parts = [runs(x, length, k) for x in texts]
+            data = [units(x, unit) for x in texts]
+            parts = [runs(x, length, k) for x in data]
             offsets = np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32)
             h, c, i, j = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in range(4))
             structs = pa.StructArray.from_arrays([pa.array(h), pa.array(c), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], fields=list(_RUN))
             keys = [key_of(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs)],
+                [b.column(0), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), structs)],
                 names=["doc_id", "k1", "k2", "n", "sha", "runs"],
             )
 
@@ -163,10 +181,11 @@ def compressed(docs: DataFrame, length: int) -> DataFrame:
     return _plain(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, z binary")
 
 
-def hashed_matcher(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """Which windows of these byte strings occur more than once among all of theirs, by their hashes."""
-    size = [len(x) - length + 1 for x in parts]
-    w = np.concatenate([windows(np.frombuffer(x, np.uint8), length) for x in parts])
+def hashed_matcher(parts: list[bytes], length: int, unit: type = np.uint8) -> list[np.ndarray]:
+    """Which windows of these strings occur more than once among all of theirs, by their hashes."""
+    data = [np.frombuffer(x, unit) for x in parts]
+    size = [len(x) - length + 1 for x in data]
+    w = np.concatenate([windows(x, length) for x in data])
     order = np.argsort(w)
     same = w[order[1:]] == w[order[:-1]]
     hit = np.zeros(len(w), bool)
@@ -208,26 +227,27 @@ def matched(edges: DataFrame, length: int, matcher: Callable[[list[bytes], int],
     return edges.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, i int, j int")
 
 
-def parted(hot: DataFrame, length: int, k: int) -> DataFrame:
+def parted(hot: DataFrame, length: int, k: int, unit: type = np.uint8) -> DataFrame:
     """Each run (k1, k2, i, bytes, q, lo, hi) of anchors with many, by quarters of the offsets [lo, hi] it was kept for.
 
     ``q``: how far the anchor is from the first window, -1 if not known yet. All windows of one part have more
     bytes in common than the anchor, and the hash of these is the new ``h``: windows that are equal still meet.
     """
+    size = np.dtype(unit).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for k1, k2, i, text, q, lo, hi in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "i", "bytes", "q", "lo", "hi")), strict=True):
-                n = len(text) - length + 1
+                n = len(text) // size - length + 1
                 if q < 0:
-                    q = int(anchors(np.frombuffer(text, np.uint8)[:length], length, k)[0][0])
+                    q = int(anchors(np.frombuffer(text, unit)[:length], length, k)[0][0])
                 cuts = [lo + (hi + 1 - lo) * p // PARTS for p in range(PARTS + 1)]
                 for x, y in zip(cuts, (c - 1 for c in cuts[1:]), strict=False):
                     t1, t2 = q - min(y, q), q - max(x, q - n + 1)
                     if x <= y and t1 <= t2:
-                        part = text[t1 : t2 + length]
-                        out.append((_signed(xxh3_64_intdigest(text[q - x : q - y + length], x << 16 | y)), _signed(xxh3_64_intdigest(part)), k1, k2, i + t1, part, q - t1, x, y))
+                        part = text[t1 * size : (t2 + length) * size]
+                        out.append((_signed(xxh3_64_intdigest(text[(q - x) * size : (q - y + length) * size], x << 16 | y)), _signed(xxh3_64_intdigest(part)), k1, k2, i + t1, part, q - t1, x, y))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "k1", "k2", "i", "bytes", "q", "lo", "hi"])
 
@@ -242,7 +262,7 @@ def marks(run: DataFrame) -> DataFrame:
     return run.join(stats, ["h", "c"]).withColumn("whole", F.col("nc") > 1).withColumn("compare", (F.col("kinds") > 1) & (F.col("o") == F.col("first"))).drop("nc", "first", "o")
 
 
-def settled(edges: DataFrame, length: int, k: int, matcher: Callable[[list[bytes], int], list[np.ndarray]]) -> DataFrame:
+def settled(edges: DataFrame, length: int, k: int, matcher: Callable[[list[bytes], int], list[np.ndarray]], unit: type = np.uint8) -> DataFrame:
     """(k1, k2, i, j): window ranges of the edge runs (h, k1, k2, i, bytes, kinds) that repeat.
 
     Runs of anchors with more than HOT of them are cut, and what is then common to the windows of a part
@@ -255,8 +275,8 @@ def settled(edges: DataFrame, length: int, k: int, matcher: Callable[[list[bytes
         hot = pending.filter(F.col("kinds") > HOT)
         if hot.isEmpty():
             return reduce(DataFrame.unionAll, whole, matched(reduce(DataFrame.unionAll, few), length, matcher))
-        marked = Written(marks(Written(parted(hot, length, k), "parts").df), "marked").df
-        whole.append(marked.filter("whole").select("k1", "k2", "i", (F.col("i") + F.length("bytes") - length).cast("int").alias("j")))
+        marked = Written(marks(Written(parted(hot, length, k, unit), "parts").df), "marked").df
+        whole.append(marked.filter("whole").select("k1", "k2", "i", (F.col("i") + F.length("bytes") / np.dtype(unit).itemsize - length).cast("int").alias("j")))
         pending = marked.filter("compare").select("h", "k1", "k2", "i", "bytes", "kinds", "q", "lo", "hi")
 
 
@@ -278,8 +298,9 @@ class Repeats:
     ``ranges``: k1, k2, ranges - of each class with one member that has any, the window ranges that repeat.
     """
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher, keep_scan: bool = True):
-        scanned = Written(scan(docs, length, k), "scan")
+    def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher, keep_scan: bool = True, unit: type = np.uint8):
+        size = np.dtype(unit).itemsize
+        scanned = Written(scan(docs, length, k, unit), "scan")
         all_ = scanned.df
         self.scanned = all_.drop("runs")
         self.classes = Written(all_.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes").df
@@ -295,14 +316,14 @@ class Repeats:
             unpack = zstandard.ZstdDecompressor()
             for b in batches:
                 for k1, k2, z, rows in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "z", "asked")), strict=True):
-                    text = unpack.decompress(z)
+                    text = units(unpack.decompress(z), unit).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["h"] for r in rows], pa.int64()), pa.array([k1] * len(rows), pa.int64()), pa.array([k2] * len(rows), pa.int64()), pa.array([r["i"] for r in rows], pa.int32()), pa.array([text[r["i"] : r["j"] + length] for r in rows], pa.binary()), pa.array([r["kinds"] for r in rows], pa.int64())],
+                        [pa.array([r["h"] for r in rows], pa.int64()), pa.array([k1] * len(rows), pa.int64()), pa.array([k2] * len(rows), pa.int64()), pa.array([r["i"] for r in rows], pa.int32()), pa.array([text[r["i"] * size : (r["j"] + length) * size] for r in rows], pa.binary()), pa.array([r["kinds"] for r in rows], pa.int64())],
                         names=["h", "k1", "k2", "i", "bytes", "kinds"],
                     )
 
         edges = Written(compressed(docs, length).join(asked.hint("merge"), ["doc_id", "k1", "k2"]).mapInArrow(cut, "h long, k1 long, k2 long, i int, bytes binary, kinds long"), "edges").df
-        found = settled(edges, length, k, matcher).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
+        found = settled(edges, length, k, matcher, unit).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
         single = found.join(self.classes.filter("copies = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
         self.ranges = Written(single.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "j")).alias("ranges")), "ranges").df
 
@@ -334,12 +355,22 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher) -> DataFrame:
+def in_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, each up to the next word."""
+    at = [x.start() for x in re.finditer(rb"\S+", text)]
+    return [(at[a], at[b] if b < len(at) else len(text)) for a, b in spans]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher, words: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, the removed bytes cut from ``text``.
 
+    ``words``: what lies in a repeated window of so many words goes too (more than WORDS_K), however few bytes it has.
     Where a cut runs through a character, what is left of it goes too. Null texts stay null.
     """
     repeats = Repeats(docs, length, k, matcher, keep_scan=False)
+    of_words = repeats.ranges.filter("false")
+    if words is not None:
+        of_words = Repeats(docs, words, WORDS_K, partial(hashed_matcher, unit=np.uint64), keep_scan=False, unit=np.uint64).ranges
     plain = docs.withColumn("text", F.col("text").cast("string"))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,20 +382,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
         for b in batches:
             at = b.schema.get_field_index("text")
             out = []
-            for text, copied, ranges in zip(b.column(at).to_pylist(), b.column("_copied").to_pylist(), b.column("_ranges").to_pylist(), strict=True):
-                data = text.encode() if text and (copied or ranges) else b""
-                if copied and len(data) >= length:
+            for text, copied, ranges, by_word in zip(*(b.column(c).to_pylist() for c in (at, "_copied", "_ranges", "_words")), strict=True):
+                data = text.encode() if text and (copied or ranges or by_word) else b""
+                if copied and (len(data) >= length or (words is not None and len(data.split()) >= words)):
                     text = ""
-                elif ranges:
-                    text = kept(data, covered(ranges, length)).decode("utf-8", "ignore")
+                elif ranges or by_word:
+                    spans = covered(ranges or [], length) + (in_bytes(data, covered(by_word, words)) if by_word else [])
+                    text = kept(data, sorted(spans)).decode("utf-8", "ignore")
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)][:-2]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)][:-3]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-3])
 
     both = T.StructType([*plain.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
     copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("_copied"))
-    what = copies.join(repeats.ranges.withColumnRenamed("ranges", "_ranges"), ["k1", "k2"], "full").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    joined = plain.mapInArrow(classed, both).join(what.hint("merge"), ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges")
+    what = copies.join(repeats.ranges.withColumnRenamed("ranges", "_ranges"), ["k1", "k2"], "full").join(of_words.withColumnRenamed("ranges", "_words"), ["k1", "k2"], "full").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    joined = plain.mapInArrow(classed, both).join(what.hint("merge"), ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges", "_words")
     return joined.mapInArrow(cut, plain.schema)
 
 
@@ -372,5 +404,5 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
-        at = b
+        at = max(at, b)
     return b"".join([*out, text[at:]])
