@@ -8,7 +8,8 @@ aggregation over the sources that tries ``GRID`` exponents at once; sources are
 A source's budget is its weight times all tokens to spend. It is spent in epochs. Every epoch deals the
 source's documents in its own order: blocks (about ``PER_BLOCK`` documents by a hash of the id, at most
 ``BLOCKS``) by a hash of epoch and block, and a block's documents by a hash of epoch and id. Full epochs take
-every document; the last takes documents in order as long as they fit. Prefix sums run over a source's blocks
+every document; the last takes documents in order as long as they fit, or, on request, if it is the only one, all
+that start within the budget, so that no source is left out and rounding loses no document. Prefix sums run over a source's blocks
 (bounded) and within the one block where the budget ends, so a source of any size is dealt without bringing
 it together.
 
@@ -108,11 +109,14 @@ def light(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), tokens(F.col("text").cast("string")).alias("tokens"))
 
 
-def cuts(rows: DataFrame, made: Plan, seed: int) -> DataFrame:
+def cuts(rows: DataFrame, made: Plan, seed: int, started: bool = False) -> DataFrame:
     """(source, epochs, at_block, at_doc, at_tokens): the last document of each source's last epoch, by its place in that order.
 
     ``rows``: doc_id, source, tokens, and the plan's columns. Sources whose last epoch takes nothing have nulls.
+    ``started``: see ``dealt``.
     """
+    if started:
+        rows = rows.withColumn("rest", F.when(F.col("epochs") == 0, F.greatest("rest", F.lit(1))).otherwise(F.col("rest")))
     placed = rows.withColumn("block", _block(F.coalesce("doc_id", F.lit(-1)), F.col("blocks"), seed))
     sums = Written(placed.groupBy("source", "epochs", "rest", "block").agg(F.sum("tokens").alias("sum")).withColumn("block_key", _hash(seed, F.col("epochs"), F.col("source"), F.col("block"))), "blocks").df
     in_order = Window.partitionBy("source").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,16 +124,24 @@ def cuts(rows: DataFrame, made: Plan, seed: int) -> DataFrame:
     cut = dealt.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))).select("source", "block", "block_key", "before")
     one = placed.join(cut, ["source", "block"]).withColumn("doc_key", _hash(seed, F.col("epochs"), F.coalesce("doc_id", F.lit(-1))))
     upto = Window.partitionBy("source", "block").orderBy("doc_key", "tokens").rangeBetween(Window.unboundedPreceding, 0)
-    inside = one.withColumn("sum", F.sum("tokens").over(upto)).filter(F.col("before") + F.col("sum") <= F.col("rest"))
+    within = F.col("before") + F.sum("tokens").over(upto) <= F.col("rest")
+    if started:
+        ahead = Window.partitionBy("source", "block").orderBy("doc_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+        starts = F.col("before") + F.coalesce(F.sum("tokens").over(ahead), F.lit(0))
+        within = F.when(F.col("epochs") == 0, starts < F.col("rest")).otherwise(within)
+    inside = one.withColumn("within", within).filter("within")
     last = inside.groupBy("source").agg(F.max(F.struct("doc_key", "tokens")).alias("last"))
     return cut.join(last, "source", "left").select("source", F.col("block_key").alias("at_block"), F.col("last.doc_key").alias("at_doc"), F.col("last.tokens").alias("at_tokens"))
 
 
-def dealt(rows: DataFrame, made: Plan, seed: int = 7) -> DataFrame:
-    """``rows`` (doc_id, source, tokens and any others), each once for every time that it is taken, with epoch, block, block_key and doc_key."""
+def dealt(rows: DataFrame, made: Plan, seed: int = 7, started: bool = False) -> DataFrame:
+    """``rows`` (doc_id, source, tokens and any others), each once for every time that it is taken, with epoch, block, block_key and doc_key.
+
+    ``started``: of a source that isn't taken whole even once, the document in which its budget ends is taken too.
+    """
     planned = made.sources.select("source", "blocks", "epochs", "rest")
     known = rows.join(planned, "source")
-    end = Written(cuts(known.select("doc_id", "source", "tokens", "blocks", "epochs", "rest"), made, seed), "cuts").df
+    end = Written(cuts(known.select("doc_id", "source", "tokens", "blocks", "epochs", "rest"), made, seed, started), "cuts").df
     each = known.join(end, "source", "left").withColumn("block", _block(F.coalesce("doc_id", F.lit(-1)), F.col("blocks"), seed))
     last_block = _hash(seed, F.col("epochs"), F.col("source"), F.col("block"))
     last_doc = _hash(seed, F.col("epochs"), F.coalesce("doc_id", F.lit(-1)))
