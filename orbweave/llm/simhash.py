@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from orbweave.llm.components import components, contract
+from orbweave.llm.components import components, contract, forest
 from orbweave.llm.store import Written, as_bytes, ready
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -211,17 +211,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 SIGNS = 4096
 #: Members of a bucket that are compared with each other at a time.
 TOGETHER = 1024
+#: Texts of at most so many shingles find all that is similar to them by the shingles themselves. Signs of sums of a few
+#: hashes are often those of zero, and they depend on each other.
+SHORT = 64
 
 
-def long_fingerprint(text: bytes, words: int) -> tuple[int, bytes]:
-    """A hash of the text's set of shingles, and SIGNS signs of random projections of that set.
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the text's set of shingles, in order."""
+    found = text.translate(_LOWER).split()
+    distinct = {b" ".join(found)} if len(found) < words else set(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
+    return np.unique(np.fromiter(map(xxh64_intdigest, distinct, repeat(42)), np.uint64, len(distinct)))
+
+
+def long_fingerprint(h: np.ndarray) -> tuple[int, bytes]:
+    """A hash of a set of shingles, and SIGNS signs of random projections of that set.
 
     Shingles are hashed to signed coordinates, and these are mixed by a Hadamard transform: each sign is that
     of a sum of random signs over all shingles, as a SimHash bit is, at a cost that doesn't grow with SIGNS.
     """
-    found = text.translate(_LOWER).split()
-    shingles = {b" ".join(found)} if len(found) < words else set(map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
-    h = np.sort(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)))
     at, sign = (h % np.uint64(SIGNS)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
     v = np.bincount(at, sign, SIGNS).reshape(64, 64)
     mixed = _HADAMARD @ v @ _HADAMARD
@@ -249,8 +256,73 @@ def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return width, int(min((SIGNS - 128) // width, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
 
 
-def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(u, v): verified links between ``classes`` (k, signs), enough of them to connect each group.
+def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links that connect all texts (k, text, n) of SHORT shingles, or little more, to what is similar to them.
+
+    Of n shingles, the rarest first, two similar texts share one of the first ``n - ceil(similarity * n) + 1`` of each.
+    Those that share one are compared exactly, block by block, and a value's links go on as a spanning forest.
+    """
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x, words).view(np.int64) for x in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["k", "h"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, size = np.array([x[1] for x in held]), np.array([len(x[2]) for x in held])
+            kinds, at = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+            member = np.repeat(np.arange(len(held)), size)
+            u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            blocks = range(0, len(held), 256)
+
+            def block(a: int) -> tuple[np.ndarray, np.ndarray]:
+                inside = (member >= a) & (member < a + 256)
+                here, column = np.unique(at[inside], return_inverse=True)
+                x = np.zeros((min(256, len(held) - a), len(here)), np.float32)
+                x[member[inside] - a, column] = 1
+                return here, x
+
+            for a in blocks:
+                ka, x = block(a)
+                for c in range(0, a + 1, 256):
+                    kc, y = block(c)
+                    _, i, j = np.intersect1d(ka, kc, assume_unique=True, return_indices=True)
+                    shared = x[:, i] @ y[:, j].T
+                    union = size[a : a + 256, None] + size[None, c : c + 256] - shared
+                    i, j = np.nonzero(shared >= similarity * union - 1e-9)
+                    u, v = forest(np.concatenate([u, k[a + i]]), np.concatenate([v, k[c + j]]))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("t", "k", "h")), strict=True):
+                if held and row[0] != held[-1][0]:
+                    if len(held) > 1:
+                        yield from flush()
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield from flush()
+
+    ready(texts.sparkSession)
+    few = texts.filter(F.col("n") <= int(SHORT / similarity)).select("k", "text").mapInArrow(sets_of, "k long, h array<long>")
+    sets = Written(few.dropDuplicates(["k"]), "short").df
+    each = sets.select("k", F.explode("h").alias("t"))
+    rare = each.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
+    of = each.join(rare, "t").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))
+    n = F.size("h")
+    left = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1 - (n - F.size("common"))
+    asked = of.join(sets, "k").filter(left > 0).select(F.explode(F.slice("common", F.lit(1), left)).alias("x"), "k", "h").select("x.t", "k", "h")
+    return Written(asked.repartition("t").sortWithinPartitions("t").mapInArrow(meet, "u long, v long"), "short-links").df
+
+
+def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
+    """(u, v): verified links between ``classes`` (k, signs, n), enough of them to connect each group.
+
+    ``texts`` (k, text, n) has the text of each class, ``n`` is its number of shingles.
 
     Pairs are candidates if a partition of their long fingerprints is equal in both: all pairs that differ in
     fewer bits than there are partitions, by the pigeonhole principle with every threshold 0, and pairs at the
@@ -262,25 +334,26 @@ def similar(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
     n = classes.count()
     width, parts = partitions(n, similarity, recall)
     first = -(-parts // 6)
+    classes = classes.filter(F.col("n") > SHORT)
     labelled = classes.select("k", "signs", F.col("k").alias("label"))
-    links = probed(labelled, similarity, width, 0, first)
+    links = short_links(texts, words, similarity).unionAll(probed(labelled, texts, words, similarity, width, 0, first))
     if first == parts:
         return links
     joined = components(links, rounds=1).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("component"))
     labelled = classes.join(joined, "k", "left").select("k", "signs", F.coalesce("component", "k").alias("label"))
-    return links.unionAll(probed(labelled, similarity, width, first, parts))
+    return links.unionAll(probed(labelled, texts, words, similarity, width, first, parts))
 
 
-def probed(classes: DataFrame, similarity: float, width: int, start: int, stop: int) -> DataFrame:
+def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, start: int, stop: int) -> DataFrame:
     """(u, v): verified links between ``classes`` (k, signs, label) of different labels that share one of these partitions.
 
     Within a partition's value, each member goes on with its nearest others by 128 signs kept for that, and with
-    the nearest of those before it in a random order. A value that very many share is cut. All links are
-    verified on all signs.
+    the nearest of those before it in a random order. A value that very many share is cut. All signs
+    then leave out what is far from similar (by five standard errors), and links are verified on the sets of shingles.
     """
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(SIGNS * differ + 1.3 * np.sqrt(SIGNS * differ * (1 - differ)))
-    loose = int(128 * differ + 2.6 * np.sqrt(128 * differ * (1 - differ)))
+    most = int(SIGNS * differ + 5 * np.sqrt(SIGNS * differ * (1 - differ)))
+    loose = int(128 * differ + 4 * np.sqrt(128 * differ * (1 - differ)))
     parts = stop - start
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,35 +412,58 @@ def probed(classes: DataFrame, similarity: float, width: int, start: int, stop:
     signs = classes.select("k", "signs")
     both = asked.join(signs.withColumnsRenamed({"k": "u", "signs": "su"}), "u").join(signs.withColumnsRenamed({"k": "v", "signs": "sv"}), "v")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("su", "sv"))
             ok = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
 
-    return Written(both.mapInArrow(verify, "u long, v long"), "verified").df
+    near = Written(both.mapInArrow(sift, "u long, v long"), "near").df
+    nodes = near.select(F.col("u").alias("k")).unionAll(near.select(F.col("v").alias("k"))).distinct()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["k", "h"])
+
+    sets = Written(texts.join(nodes, "k", "left_semi").select("k", "text").mapInArrow(sets_of, "k long, h binary").dropDuplicates(["k"]), "sets").df
+    pairs = near.join(sets.withColumnsRenamed({"k": "u", "h": "hu"}), "u").join(sets.withColumnsRenamed({"k": "v", "h": "hv"}), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("hu").to_pylist(), b.column("hv").to_pylist(), strict=True):
+                h = np.sort(np.frombuffer(x + y, np.uint64))
+                shared = int((h[1:] == h[:-1]).sum())
+                ok.append(shared >= similarity * (len(h) - shared) - 1e-9)
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
+
+    return Written(pairs.mapInArrow(verify, "u long, v long"), "verified").df
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """One row of each group of near duplicates in ``docs``, with all its columns: one with the smallest doc_id.
 
-    Near duplicates have shingle sets of this Jaccard similarity or more (estimated within about 0.02), or are
-    linked by such. Texts without words are one group. A null doc_id counts as the largest.
+    Near duplicates have shingle sets of this Jaccard similarity or more, or are linked by such: every link is
+    compared exactly, and a pair at the similarity is looked at with the chance ``recall``, or
+    always if a text has at most SHORT shingles. Texts without words are one group. A null doc_id counts as the largest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [long_fingerprint(x, words) for x in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "th", "k", "signs"])
+            sets = [shingles(x, words) for x in as_bytes(b.column(2))]
+            found = [long_fingerprint(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), b.column(2)], names=["id", "th", "k", "signs", "n", "text"])
 
     ready(docs.sparkSession)
     text = F.col("text").cast("string")
     key, of_text = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
-    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary"), "fingerprinted").df
+    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary, n long, text string"), "fingerprinted").df
     classes = Written(rows.groupBy("k").agg(F.min("id").alias("id")), "classes").df
-    reps = rows.join(classes, ["k", "id"], "left_semi")
-    signs = Written(reps.dropDuplicates(["k"]).select("k", "signs"), "signs")
-    joined = components(similar(signs.df, similarity, recall))
+    reps = rows.drop("text").join(classes, ["k", "id"], "left_semi")
+    signs = Written(reps.dropDuplicates(["k"]).select("k", "signs", "n", "id"), "signs")
+    texts = rows.join(signs.df.select("k", "id"), ["k", "id"], "left_semi").select("k", "text", "n")
+    joined = components(similar(signs.df, texts, words, similarity, recall))
     signs.drop()
     of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
