@@ -249,11 +249,19 @@ def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Width and number of the partitions of long fingerprints of ``n`` texts.
 
     Wide enough that unrelated texts share about one value a partition, and so many that a pair of this
-    similarity agrees in one of them with this chance.
+    similarity agrees in one of them with this chance. Where the signs don't last for that many, the width stays
+    at the largest that they last for: unrelated texts then share values, which costs time, not pairs.
     """
-    width = min(32, max(10, int(np.ceil(np.log2(max(n, 2))))))
-    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
-    return width, int(min((SIGNS - 128) // width, np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+    rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+
+    def number(width: int) -> int:
+        return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - rate) ** width))))
+
+    fit = [w for w in range(10, 33) if number(w) * w <= SIGNS - 128]
+    if not fit:
+        raise ValueError(f"{SIGNS} signs can't find pairs at a similarity of {similarity} with a chance of {recall}")
+    width = min(max(fit), max(10, int(np.ceil(np.log2(max(n, 2))))))
+    return width, number(width)
 
 
 def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from orbweave.llm import simhash
@@ -99,3 +100,12 @@ def test_keep_one_finds_what_is_similar(spark):
     assert groups(0.7) <= got <= groups(0.87)
     assert len(got) < len(texts) - 20
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_partitions_keep_the_recall_at_any_size():
+    for n in (2, 10**4, 10**6, 16 * 10**6, 256 * 10**6, 10**10):
+        width, parts = simhash.partitions(n, 0.8, 0.98)
+        assert 1 - (1 - (1 - np.arccos(1.6 / 1.8) / np.pi) ** width) ** parts >= 0.98
+        assert parts * width <= simhash.SIGNS - 128
+    with pytest.raises(ValueError):
+        simhash.partitions(100, 0.1, 0.98)
