@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: "Not reached" and the neutral element of minimum; a number, not NULL, in every result.
 INFINITY = 1 << 30
 
-#: Colours of the DOT writer, in the order of the labels.
-PALETTE = ("red", "blue", "green", "yellow", "purple", "orange", "brown", "pink")
+#: The colours of the DOT writer, in the order in which labels get them.
+PALETTE = ("red", "orange", "yellow", "green", "cyan", "blue", "purple", "black")
 
 
 def partition_of(vertex: Column, parts: int) -> Column:

@@ -13,24 +13,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests, a laptop), one of our own."""
+    """The session's checkpoint folder; where none is set, one of our own in local mode, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orbweave-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
 class Written:
-    """A table in the shared folder: ``df`` reads it, ``drop()`` deletes it."""
+    """A table in the shared folder: ``df`` reads it, ``drop()`` deletes it.
 
-    def __init__(self, df: DataFrame, name: str):
+    With ``by``, rows lie in buckets of that column, as many as the session has shuffle partitions, so that
+    joins on it don't shuffle the table.
+    """
+
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/orbweave/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.table = None
+        if by is None:
+            df.write.option("compression", "zstd").parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        else:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.table = f"orbweave_{uuid.uuid4().hex}"
+            df.repartition(parts, by).write.option("compression", "zstd").option("path", self.path).bucketBy(parts, by).sortBy(by).saveAsTable(self.table)
+            self.df = self.spark.table(self.table)
+        _known(self.spark).append(self)
 
     def drop(self) -> None:
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _known(self.spark):
+            _known(self.spark).remove(self)
+
+
+def _known(spark: SparkSession) -> list[Written]:
+    if not hasattr(spark.sparkContext, "_orbweave_tables"):
+        spark.sparkContext._orbweave_tables = []
+    return spark.sparkContext._orbweave_tables
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete all tables that this session still has in the shared folder, once their results aren't needed any more."""
+    tables = list(_known(spark))
+    for t in tables:
+        t.drop()
+    return len(tables)

@@ -19,7 +19,6 @@ class PageRank(VertexProgram):
     value_type = "double"
     scatter_uses_neighbor = False
     dense = True
-    settles = False
 
     def init(self, v: Vertex) -> tuple[Column, Column]:
         return F.lit(1.0), F.lit(True)

@@ -10,11 +10,14 @@ Two ways to run, with the same values:
 * *frontier*: as programs define it; only active vertices apply, and a scatter phase finds the next ones.
   Gives the counts of active vertices.
 * *dense*, for programs that allow it: all vertices apply in every round. Rounds need no scatter phase and
-  several of them are planned as one job.
+  several of them are planned as one job. The edges lie in buckets of the end that is looked up, so a round
+  shuffles messages and values only. A round that leaves every value as it was is the last one.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,17 +27,29 @@ from orbweave.functions.tables import Written
 from orbweave.operators.graph import Graph
 from orbweave.operators.program import Direction, Vertex, VertexProgram
 
-#: Rounds planned as one job in a dense run. Each round refers to the previous one twice, so plans double.
+log = logging.getLogger("orbweave")
+
+#: Rounds planned as one job in a dense run. Each round refers to the previous one twice; shuffles are reused, but plans take longer to make.
 STRIDE = 4
 
 
 @dataclass
 class Run:
-    """``vertices``: (id, value, in_degree, out_degree). ``active``: vertices active after each round, if counted."""
+    """``vertices``: (id, value, in_degree, out_degree). ``active``: vertices active after each round, if counted.
+
+    ``loading`` and ``computing``: seconds until the first round, and in the rounds.
+    """
 
     vertices: DataFrame
     rounds: int
     active: list[int] | None
+    loading: float = 0.0
+    computing: float = 0.0
+
+    def lines(self) -> list[str]:
+        """The run as lines of a benchmark log, which ``sources.reports.bench_average`` reads."""
+        rounds = [f"Iteration: {i}, global_active vertices: {n}" for i, n in enumerate(self.active or [])]
+        return [f"Loading time: {self.loading:f} (s)", *rounds, f"Total computing time: {self.computing:f} (s)"]
 
     def stats(self) -> DataFrame:
         """(iteration, active), iterations from 0."""
@@ -56,12 +71,15 @@ def _oriented(edges: DataFrame, way: Direction) -> DataFrame:
     return {Direction.IN: coming, Direction.OUT: going, Direction.ALL: coming.unionAll(going)}[way]
 
 
-def gather(program: VertexProgram, edges: DataFrame, state: DataFrame, frontier: DataFrame | None = None) -> DataFrame:
-    """(id, acc): what each vertex - of the ``frontier`` (id), if given - gathers from its neighbours."""
+def gather(program: VertexProgram, edges: DataFrame, state: DataFrame, frontier: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
+    """(id, acc): what each vertex - of the ``frontier`` (id), if given - gathers from its neighbours.
+
+    ``met``: the edges as (v_id, nbr_id) in the direction of the program, if they are at hand.
+    """
     if program.gather_edges is Direction.NONE:
         return state.select("id", F.lit(None).cast(program.value_type).alias("acc")).limit(0)
     plain = state.select("id", "value", "in_degree", "out_degree")
-    met = _oriented(edges, program.gather_edges)
+    met = _oriented(edges, program.gather_edges) if met is None else met
     if frontier is not None:
         met = met.join(frontier.select(F.col("id").alias("v_id")), "v_id", "left_semi")
     met = met.join(_as(plain, "nbr"), "nbr_id")
@@ -71,15 +89,18 @@ def gather(program: VertexProgram, edges: DataFrame, state: DataFrame, frontier:
     return met.select("v_id", message.alias("message")).groupBy(F.col("v_id").alias("id")).agg(program.op(F.col("message")).alias("acc"))
 
 
-def apply(program: VertexProgram, state: DataFrame, gathered: DataFrame, active: Column) -> DataFrame:
-    """``state`` with new values of the active vertices, and ``change``."""
+def apply(program: VertexProgram, state: DataFrame, gathered: DataFrame, active: Column, exact: bool = False) -> DataFrame:
+    """``state`` with new values of the active vertices, and ``change``: as the program says, or if ``exact`` whether the value is another."""
     both = _as(state, "v").join(gathered.withColumnRenamed("id", "v_id"), "v_id", "left")
     v = _of("v")
     total = F.when(program.gathers(v), program.total(F.col("acc"))).otherwise(program.zero())
     value, change = program.apply(v, total)
+    new = F.when(active, value).otherwise(v.value).cast(program.value_type)
+    if exact:
+        change = ~new.eqNullSafe(v.value)
     return both.select(
         F.col("v_id").alias("id"),
-        F.when(active, value).otherwise(v.value).cast(program.value_type).alias("value"),
+        new.alias("value"),
         F.col("v_in_degree").alias("in_degree"),
         F.col("v_out_degree").alias("out_degree"),
         (active & change).alias("change"),
@@ -105,32 +126,46 @@ def initial(program: VertexProgram, graph: Graph) -> DataFrame:
     return start.select(F.col("v_id").alias("id"), value.cast(program.value_type).alias("value"), F.col("v_in_degree").alias("in_degree"), F.col("v_out_degree").alias("out_degree"), active.alias("active"))
 
 
-def run(graph: Graph, program: VertexProgram, counts: bool = False, max_iterations: int | None = None) -> Run:
-    """Run ``program`` to its end or its cap (or ``max_iterations``); at least one round is run."""
+def run(graph: Graph, program: VertexProgram, counts: bool = False, max_iterations: int | None = None, skip_scatter: bool = False) -> Run:
+    """Run ``program`` to its end or its cap (or ``max_iterations``); at least one round is run.
+
+    ``skip_scatter``, for programs that may be ``dense``: a round with counts whose changed vertices have over half of
+    all edges (or all of them, if messages go both ways) activates every vertex instead of looking for the next ones.
+    """
     cap = max(1, program.iterations if max_iterations is None else max_iterations)
-    edges = Written(graph.edges, "edges").df
+    began = time.monotonic()
+    dense = program.dense and not counts
+    edges = Written(_oriented(graph.edges, program.gather_edges), "edges", by="nbr_id") if dense else Written(graph.edges, "edges")
     first = Written(initial(program, graph), "vertices")
-    return _dense(program, edges, first, cap) if program.dense and not counts else _frontier(program, edges, first, cap)
+    loaded = time.monotonic()
+    done = _dense(program, edges.df, first, cap) if dense else _frontier(program, edges.df, first, cap, skip_scatter and program.dense)
+    edges.drop()
+    done.loading, done.computing = loaded - began, time.monotonic() - loaded
+    log.info("%s: %d rounds, loading %.3f s, computing %.3f s", type(program).__name__, done.rounds, done.loading, done.computing)
+    return done
 
 
-def _dense(program: VertexProgram, edges: DataFrame, now: Written, cap: int) -> Run:
+def _dense(program: VertexProgram, met: DataFrame, now: Written, cap: int) -> Run:
     done = 0
     while done < cap:
         step = min(STRIDE, cap - done)
         state = now.df.select("id", "value", "in_degree", "out_degree")
-        for _ in range(step):
-            state = apply(program, state.drop("change"), gather(program, edges, state), F.lit(True))
+        for k in range(step):
+            new = apply(program, state, gather(program, met, state, met=met), F.lit(True), exact=k == step - 1)
+            state = new if k == step - 1 else new.drop("change")
         written = Written(state, "vertices")
         now.drop()
         now, done = written, done + step
-        if program.settles and now.df.filter("change").isEmpty():
+        log.debug("round %d", done)
+        if now.df.filter("change").isEmpty():
             break  # had any earlier round of this job changed nothing, the last one changed nothing either
     return Run(now.df.drop("change"), done, None)
 
 
-def _frontier(program: VertexProgram, edges: DataFrame, now: Written, cap: int) -> Run:
+def _frontier(program: VertexProgram, edges: DataFrame, now: Written, cap: int, skip: bool = False) -> Run:
     frontier: Written | None = None
     active: list[int] = []
+    all_edges = edges.count() if skip else 0
     for _ in range(cap):
         state = now.df
         if frontier is not None:
@@ -138,12 +173,18 @@ def _frontier(program: VertexProgram, edges: DataFrame, now: Written, cap: int)
         here = state.filter("active").select("id")
         gathered = gather(program, edges, state, here)
         applied = Written(apply(program, state, gathered, F.col("v_active")), "vertices")
-        found = Written(scatter(program, edges, applied.df), "frontier")
+        everyone = False
+        if skip:
+            ends = {Direction.NONE: F.lit(0), Direction.IN: F.col("in_degree"), Direction.OUT: F.col("out_degree"), Direction.ALL: F.col("in_degree") + F.col("out_degree")}[program.scatter_edges]
+            busy = applied.df.filter("change").agg(F.sum(ends)).first()[0] or 0
+            everyone = busy > all_edges * (1 if program.scatter_edges is Direction.ALL else 0.5)
+        found = Written(applied.df.select("id") if everyone else scatter(program, edges, applied.df), "frontier")
         now.drop()
         if frontier is not None:
             frontier.drop()
         now, frontier = applied, found
         active.append(found.df.count())
+        log.debug("round %d: %d active vertices", len(active) - 1, active[-1])
         if not active[-1]:
             break
     return Run(now.df.drop("change"), len(active), active)

@@ -50,8 +50,6 @@ class VertexProgram:
     #: Whether applying a vertex that isn't active would leave its value as it is. Then a run that needs no
     #: counts of active vertices recomputes all of them, and needs no scatter phase.
     dense: bool = False
-    #: For ``dense``: whether a round without changes is the last one.
-    settles: bool = True
 
     def init(self, v: Vertex) -> tuple[Column, Column]:
         """First value, and whether the vertex is active in the first round."""

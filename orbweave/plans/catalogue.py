@@ -216,7 +216,7 @@ query("kcore", "events", kcore_sql(120) + " SELECT id, val AS core_value FROM r
 query("kcore_peel", "chain", kcore_sql(2) + " SELECT id, val AS core_value FROM r WHERE it = 50", lambda g: alg.k_core(g, 2))
 query("kcore_members", "supply", kcore_sql(20) + " SELECT id, val AS core_value FROM r WHERE it = 50 AND val >= 20", lambda g: alg.k_core(g, 20).filter("core_value >= 20"))
 query("cc_dot", "supply", CC_ROUNDS + """, l AS (SELECT id, dense_rank() OVER (ORDER BY val) AS n FROM r WHERE it = 32)
-SELECT '  ' || id || ' [front=white, color=' || (['red', 'blue', 'green', 'yellow', 'purple', 'orange', 'brown', 'pink'])[n] || ']' AS line FROM l""", lambda g: reports.component_dot(alg.connected_components(g)))
+SELECT '  ' || id || ' [front=white, color=' || (['red', 'orange', 'yellow', 'green', 'cyan', 'blue', 'purple', 'black'])[n] || ']' AS line FROM l""", lambda g: reports.component_dot(alg.connected_components(g)))
 query("kcore_dot", "supply", kcore_sql(20) + " SELECT '  ' || id || ' [front=white, color=red]' AS line FROM r WHERE it = 50 AND val >= 20", lambda g: reports.core_dot(alg.k_core(g, 20), 20))
 
 

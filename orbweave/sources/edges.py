@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import struct
-from collections.abc import Iterable, Iterator
-from urllib.parse import urlparse
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGES = "src long, dst long"
@@ -50,29 +51,42 @@ def read_binary(spark: SparkSession, path: str, signed: bool = False) -> DataFra
             raise ValueError(f"{name}: {size} bytes are no whole number of 8-byte edges")
     if not any(size for _, size in files):
         return spark.createDataFrame([], EDGES)
-    code = "<2i" if signed else "<2I"
-    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).map(lambda x: struct.unpack(code, x)), EDGES)
+    records = spark.sparkContext._jsc.binaryRecords(path, 8)
+    raw = DataFrame(spark._jsparkSession.createDataset(records.rdd(), spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+
+    def number(at: int) -> Column:
+        big = F.concat(*[F.substring("value", at + k, 1) for k in (3, 2, 1, 0)])
+        n = F.conv(F.hex(big), 16, 10).cast("long")
+        return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n) if signed else n
+
+    return raw.select(number(1).alias("src"), number(5).alias("dst"))
 
 
 def write_binary(edges: DataFrame, path: str, signed: bool = False) -> None:
-    """One packed file a partition in the folder ``path``, on a file system that all executors mount."""
-    local = urlparse(path)
-    if local.scheme not in ("", "file"):
-        raise ValueError("packed edges are written to a mounted file system")
-    folder = local.path
-    os.makedirs(folder, exist_ok=True)
-    code = "<2i" if signed else "<2I"
-
-    def write(k: int, rows: Iterable) -> Iterator[int]:
-        pair, n = struct.Struct(code), 0
-        with open(f"{folder}/part-{k:05d}.tmp", "wb") as f:
-            for src, dst in rows:
-                f.write(pair.pack(src, dst))
-                n += 1
-        os.replace(f"{folder}/part-{k:05d}.tmp", f"{folder}/part-{k:05d}.bin")  # a task that runs again replaces its own file
-        yield n
-
-    edges.select("src", "dst").rdd.mapPartitionsWithIndex(write).count()
+    """One packed file a partition in the folder ``path``, on any file system that Arrow opens by its URI (files, HDFS, object stores).
+
+    Ids that don't fit in four bytes fail the job.
+    """
+    kind = np.dtype("<i4" if signed else "<u4")
+    least, most = np.iinfo(kind).min, np.iinfo(kind).max
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(uri)
+        store.create_dir(folder)
+        k, attempt, n = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        unfinished = f"{folder}/.part-{k:05d}-{attempt}"
+        with store.open_output_stream(unfinished) as f:
+            for b in batches:
+                pairs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+                if len(pairs) and (pairs.min() < least or pairs.max() > most):
+                    raise ValueError("an id doesn't fit in four bytes")
+                f.write(pairs.astype(kind).tobytes())
+                n += len(pairs)
+        store.move(unfinished, f"{folder}/part-{k:05d}.bin")  # a task that runs again replaces its own file
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def undirected(edges: DataFrame) -> DataFrame:

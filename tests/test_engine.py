@@ -98,3 +98,56 @@ def test_nested_values_and_folded_combiner(spark):
         op = staticmethod(fold(F.lit(INF).cast("long"), lambda a, b: F.least(a, b)))
 
     assert values(engine.run(g, Folded())) == {k: 0 for k in range(5)}
+
+
+def test_rounds_end_when_no_value_changes(spark):
+    g = graph(spark, SAMPLE)
+    ranks = engine.run(g, alg.PageRank())
+    assert ranks.rounds < 32
+    assert {k: round(v, 9) for k, v in values(ranks).items()} == {k: round(v, 9) for k, v in Sim(SAMPLE).pagerank(32)[0].items()}
+    assert ranks.computing > 0 and ranks.lines()[-1].startswith("Total computing time: ")
+
+
+def test_skipping_scatter_leaves_results_as_they_are(spark):
+    raw = random_edges(7) + random_edges(8)
+    g, sim = graph(spark, raw), Sim(raw)
+    got = engine.run(g, alg.Components(), counts=True, skip_scatter=True)
+    assert values(got) == sim.cc()[0]
+    assert got.active[0] >= sim.cc()[1][0]
+
+
+def test_pandas_functions_in_a_program(spark):
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def plus(a: pd.Series, b: pd.Series) -> pd.Series:
+        return a + b
+
+    @F.pandas_udf("long")
+    def largest(x: pd.Series) -> int:
+        return int(x.max())
+
+    class Odd(alg.Components):
+        iterations = 1
+        gather_uses_vertex = True
+
+        def gather(self, v, nbr):
+            return plus(v.id, nbr.value)
+
+        op = staticmethod(largest)
+
+        def total(self, acc):
+            return F.coalesce(acc, F.lit(0))
+
+        def apply(self, v, total):
+            return total, F.lit(True)
+
+    assert values(engine.run(graph(spark, SAMPLE), Odd())) == {0: 1, 1: 4, 2: 5, 3: 7, 4: 7}
+
+
+def test_tables_are_discarded(spark):
+    from orbweave.functions.tables import discard
+
+    engine.run(graph(spark, SAMPLE), alg.Components())
+    assert discard(spark) > 0
+    assert discard(spark) == 0

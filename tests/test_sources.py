@@ -35,6 +35,10 @@ def test_binary(spark, tmp_path):
         files.read_binary(spark, str(tmp_path / "none.bin"))
     (tmp_path / "empty.bin").write_bytes(b"")
     assert files.read_binary(spark, str(tmp_path / "empty.bin")).count() == 0
+    files.write_binary(spark.createDataFrame([(-5, 7)], "src long, dst long"), f"file://{tmp_path}/signed", signed=True)
+    assert rows(files.read_binary(spark, str(tmp_path / "signed"), signed=True)) == [(-5, 7)]
+    with pytest.raises(Exception, match="four bytes"):
+        files.write_binary(spark.createDataFrame([(1 << 32, 7)], "src long, dst long"), str(tmp_path / "wide"))
 
 
 def test_undirected(spark):
@@ -75,3 +79,21 @@ def test_graph_model(spark):
     assert rows(g.high(2)) == [(1,)]
     assert rows(g.load_stats(2, 2)) == [(3, 1, 0, 1)]
     assert rows(g.partition_sizes(2)) == [(0, 2, 1), (1, 2, 3)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from orbweave.__main__ import main
+
+    (tmp_path / "g.txt").write_text("0 1\n1 2\n1 3\n2 3\n3 4\n")
+    main(["sssp", "-g", str(tmp_path / "g.txt"), "-s", "0", "-o", str(tmp_path / "out")], spark)
+    said = capsys.readouterr().out
+    assert "Iteration: 1, global_active vertices: 2" in said
+    assert "Total computing time: " in said and "Loading time: " in said and "low_master: 5" in said
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 3)]
+    files.write_binary(spark.createDataFrame([(0, 1), (1, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long"), str(tmp_path / "g.bin"))
+    main(["kcore", "-g", str(tmp_path / "g.bin"), "-k", "2", "-p", str(tmp_path / "dot")], spark)
+    assert rows(spark.read.text(str(tmp_path / "dot"))) == [(f"  {k} [front=white, color=red]",) for k in (1, 2, 3)]
+    main(["cc", "-g", str(tmp_path / "g.bin"), "-p", str(tmp_path / "dot2")], spark)
+    assert rows(spark.read.text(str(tmp_path / "dot2")))[0] == ("  0 [front=white, color=red]",)
+    with pytest.raises(SystemExit):
+        main(["pagerank"], spark)
