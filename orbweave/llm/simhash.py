@@ -11,8 +11,9 @@ then linked fingerprints differ in at most ``t_i`` bits within some group ``i``.
   and the number of groups from comparing the programs' results. A group's pairs with equal values are
   counted exactly over all fingerprints; those within t bits are scaled from that by the bits' own
   disagreement rates.
-* A candidate is compared on all 64 bits inside the join, and only under the first group that finds it,
-  so the join's output is the links themselves, each once.
+* Candidates are compared on all 64 bits. ``connected`` does so in groups of bounded size (``meeting``), which
+  give a spanning forest of their links, so that a dense group of n fingerprints gives a multiple of n rows; ``links``
+  gives every link once, where they are asked for.
 
 Equal fingerprints - copies of a text above all - are one class before any join, so that a group of copies
 costs as much as a single document. Memory: per task a batch of texts; the driver holds 64 x 64 counts.
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from orbweave.llm.components import components, contract, forest
-from orbweave.llm.store import Written, as_bytes, ready
+from orbweave.llm.meeting import blocked, similar_sets, spanning
+from orbweave.llm.store import Written, as_bytes, fresh, ready
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: _BITS[k][b]: whether bit k of byte b is set
@@ -41,6 +43,8 @@ _LANE = np.arange(8, dtype=np.int64) * 256
 
 #: What a probe (two rows shuffled and sorted) costs, in comparisons of a candidate.
 PROBE_COST = 40.0
+#: Fingerprints of one value that are compared with others at a time.
+BLOCK = 4096
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -185,10 +189,74 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.v") == F.col("y.v")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & earlier).select("a", "b")
 
 
+def connected(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """(u, v): links of the distinct fingerprints ``fp`` that connect just what ``links`` does, a multiple of their number.
+
+    A group of fingerprints with equal values meets as a whole, or block by block if it is large.
+    """
+    groups, thresholds = scheme(fps, distance)
+    flips = [(i, mask(g), mask(c)) for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)) for r in range(t + 1) for c in combinations(g, r)]
+    # at most a few thousand flips, whatever the input: one literal array; the fingerprint's own value has none
+    table = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(m).alias("m"), F.lit(x).alias("x")) for i, m, x in flips])
+    rows = fps.select("fp", F.explode(table).alias("k")).select("fp", "k.g", F.col("fp").bitwiseAND(F.col("k.m")).bitwiseXOR(F.col("k.x")).alias("v"), (F.col("k.x") == 0).cast("long").alias("own"))
+    size = F.count("*")
+    totals = rows.groupBy("g", "v").agg(size.alias("n"), F.sum("own").alias("owned")).filter("n > 1 AND owned > 0").select("g", "v", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return (np.bitwise_count((x[..., :, None, 0] ^ y[..., None, :, 0]).view(np.uint64)) <= distance) & ((x[..., :, None, 1] | y[..., None, :, 1]) > 0)
+
+        def flush(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            begin = np.flatnonzero(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(1)))
+            size = np.diff(np.append(begin, len(rows)))
+            x = rows[:, 5:7]
+            for n in np.unique(size[size > 1]):
+                at = begin[size == n]
+                if n <= 64:
+                    step = max(1, (1 << 20) // (n * n))
+                    for a in range(0, len(at), step):
+                        part = x[at[a : a + step, None] + np.arange(n)]
+                        g, i, j = np.nonzero(near(part, part) & np.tri(n, k=-1, dtype=bool))
+                        # blocks of a group that meet hold pairs inside a block too; to find those again does no harm
+                        yield part[g, i, 0], part[g, j, 0]
+                    continue
+                for b in at:
+                    group = rows[b : b + n]
+                    m = 0 if group[0, 2] == group[0, 3] else int(np.searchsorted(group[:, 4], group[-1, 4]))
+                    top, side, label = (group[:m] if m else group), group[m:], np.arange(n)
+                    for a in range(0, len(top), 256):
+                        label = spanning(near(top[a : a + 256, 5:7], side[:, 5:7]), label, a, m)
+                    yield group[:, 5], group[label, 5]
+
+        def batch(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for u, v in pairs:
+                u, v = forest(u, v)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        held = np.zeros((0, 7), np.int64)
+        for b in batches:
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in range(7)], 1)])
+            last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1)) if len(rows) else np.zeros(0, np.int64)
+            whole = int(last[-1]) + 1 if len(last) else 0
+            if whole >= 1 << 15 or (whole and len(rows) - whole > BLOCK):
+                yield from batch(flush(rows[:whole]))
+                rows = rows[whole:]
+            held = rows
+        if len(held):
+            yield from batch(flush(held))
+
+    ready(fps.sparkSession)
+    placed = blocked(rows, totals, ["g", "v"], F.col("fp"), F.lit(0), F.col("blocks"), F.col("blocks"))
+    met = placed.select(F.col("g").cast("long").alias("g"), "v", F.col("pa").cast("long").alias("pa"), F.col("pb").cast("long").alias("pb"), F.col("block").cast("long").alias("block"), "fp", "own")
+    order = ["g", "v", "pa", "pb"]
+    return met.repartition(*order).sortWithinPartitions(*order, "block").mapInArrow(meet, "u long, v long")
+
+
 def components_of(fps: DataFrame, distance: int) -> DataFrame:
     """(fp, component_id): each distinct fingerprint of ``fps`` (doc_id, fp) and the smallest doc_id it is linked to."""
     classes = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes").df
-    linked = Written(contract(links(classes.select("fp"), distance).select(F.col("a").alias("u"), F.col("b").alias("v"))), "links").df
+    linked = Written(contract(connected(classes.select("fp"), distance)), "links").df
     joined = components(linked)
     of = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -209,8 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 
 #: Signs in a long fingerprint: a power of 4.
 SIGNS = 4096
-#: Members of a bucket that are compared with each other at a time.
-TOGETHER = 1024
+#: Members of a value that are compared by 128 signs at once. Where there are more, their sets are, block by block.
+TOGETHER = 16
 #: Texts of at most so many shingles find all that is similar to them by the shingles themselves. Signs of sums of a few
 #: hashes are often those of zero, and they depend on each other.
 SHORT = 64
@@ -268,63 +336,30 @@ def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(u, v): links that connect all texts (k, text, n) of SHORT shingles, or little more, to what is similar to them.
 
     Of n shingles, the rarest first, two similar texts share one of the first ``n - ceil(similarity * n) + 1`` of each.
-    Those that share one are compared exactly, block by block, and a value's links go on as a spanning forest.
+    Those that share one are compared exactly (``similar_sets``).
     """
+    ready(texts.sparkSession)
+    few = texts.filter(F.col("n") <= int(SHORT / similarity)).select("k", "text").mapInArrow(as_sets(words, listed=True), "k long, h binary, t array<long>")
+    sets = Written(few.dropDuplicates(["k"]), "short").df
+    each = sets.select("k", F.explode("t").alias("t"))
+    rare = each.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
+    of = each.join(rare, "t").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))  # at most 80 each
+    n = F.size("t")
+    left = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1 - (n - F.size("common"))
+    asked = of.join(sets, "k").filter(left > 0).select(F.explode(F.slice("common", F.lit(1), left)).alias("x"), "k").select(F.col("x.t").alias("value"), "k", F.col("k").alias("label"))
+    return similar_sets(Written(asked, "asked").df, sets.select("k", "h"), similarity)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x, words).view(np.int64) for x in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["k", "h"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, size = np.array([x[1] for x in held]), np.array([len(x[2]) for x in held])
-            kinds, at = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
-            member = np.repeat(np.arange(len(held)), size)
-            u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            blocks = range(0, len(held), 256)
-
-            def block(a: int) -> tuple[np.ndarray, np.ndarray]:
-                inside = (member >= a) & (member < a + 256)
-                here, column = np.unique(at[inside], return_inverse=True)
-                x = np.zeros((min(256, len(held) - a), len(here)), np.float32)
-                x[member[inside] - a, column] = 1
-                return here, x
-
-            for a in blocks:
-                ka, x = block(a)
-                for c in range(0, a + 1, 256):
-                    kc, y = block(c)
-                    _, i, j = np.intersect1d(ka, kc, assume_unique=True, return_indices=True)
-                    shared = x[:, i] @ y[:, j].T
-                    union = size[a : a + 256, None] + size[None, c : c + 256] - shared
-                    i, j = np.nonzero(shared >= similarity * union - 1e-9)
-                    u, v = forest(np.concatenate([u, k[a + i]]), np.concatenate([v, k[c + j]]))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def as_sets(words: int, listed: bool = False):
+    """For mapInArrow over (k, text): k and the set of shingles as bytes, and ``listed`` too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("t", "k", "h")), strict=True):
-                if held and row[0] != held[-1][0]:
-                    if len(held) > 1:
-                        yield from flush()
-                    held = []
-                held.append(row)
-        if len(held) > 1:
-            yield from flush()
+            sets = [shingles(x, words).view(np.int64) for x in as_bytes(b.column(1))]
+            columns = [b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], names=["k", "h", "t"]) if listed else pa.RecordBatch.from_arrays(columns, names=["k", "h"])
 
-    ready(texts.sparkSession)
-    few = texts.filter(F.col("n") <= int(SHORT / similarity)).select("k", "text").mapInArrow(sets_of, "k long, h array<long>")
-    sets = Written(few.dropDuplicates(["k"]), "short").df
-    each = sets.select("k", F.explode("h").alias("t"))
-    rare = each.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
-    of = each.join(rare, "t").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))
-    n = F.size("h")
-    left = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1 - (n - F.size("common"))
-    asked = of.join(sets, "k").filter(left > 0).select(F.explode(F.slice("common", F.lit(1), left)).alias("x"), "k", "h").select("x.t", "k", "h")
-    return Written(asked.repartition("t").sortWithinPartitions("t").mapInArrow(meet, "u long, v long"), "short-links").df
+    return run
 
 
 def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
@@ -355,9 +390,9 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
 def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, start: int, stop: int) -> DataFrame:
     """(u, v): verified links between ``classes`` (k, signs, label) of different labels that share one of these partitions.
 
-    Within a partition's value, each member goes on with its nearest others by 128 signs kept for that, and with
-    the nearest of those before it in a random order. A value that very many share is cut. All signs
-    then leave out what is far from similar (by five standard errors), and links are verified on the sets of shingles.
+    The few members of a value are compared by 128 signs kept for that; all signs then leave out what is far from
+    similar (by four and five standard errors), and what is left is verified on the sets of shingles. Values that
+    more than TOGETHER share, or that lie in two tasks, go to ``similar_sets``: all their members are compared.
     """
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(SIGNS * differ + 5 * np.sqrt(SIGNS * differ * (1 - differ)))
@@ -375,49 +410,56 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
             yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, parts)) for x in (k, aux[:, 0], aux[:, 1], label))], names=["value", "k", "aux", "aux2", "label"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(k: np.ndarray, aux: np.ndarray, aux2: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = sum(np.bitwise_count((x[:, None] ^ x[None]).view(np.uint64)).astype(np.int16) for x in (aux, aux2))
-            d[label[:, None] == label[None]] = 999
-            near = np.argpartition(d, min(2, len(k) - 1), 1)[:, :2]
-            earlier = np.where(np.tri(len(k), k=-1, dtype=bool), d, 999).argmin(1)
-            near = np.concatenate([near, earlier[:, None]], 1)
-            i, c = np.nonzero(np.take_along_axis(d, near, 1) <= loose)
-            j = near[i, c]
-            return np.maximum(k[i], k[j]), np.minimum(k[i], k[j])
-
-        held: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
-
-        def flush(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            out = []
-            for a, b in zip([0, *cut], [*cut, len(rows)], strict=True):
-                for x in range(a, b, TOGETHER):
-                    y = min(b, x + TOGETHER)
-                    if y - x > 1 and (rows[x:y, 4] != rows[x, 4]).any():
-                        out.append(pairs(*rows[x:y, 1:].T))
-            return out
-
-        def batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            both = np.unique(np.stack([u, v], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
-
+        first = crowded = None  # the task's first value, and one that is known to have many members
+
+        def members(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in (1, 4, 0)], names=["u", "v", "value"])
+
+        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begin = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            size = np.diff(np.append(begin, len(rows)))
+            apart = (size > TOGETHER) | (rows[begin, 0] == first) | (rows[begin, 0] == crowded)
+            yield from members(rows[np.repeat(apart, size)])
+            found = []
+            for n in np.unique(size[~apart & (size > 1)]):
+                part = rows[begin[(size == n) & ~apart][:, None] + np.arange(n)]
+                d = sum(np.bitwise_count((part[:, :, None, c] ^ part[:, None, :, c]).view(np.uint64)).astype(np.int16) for c in (2, 3))
+                g, i, j = np.nonzero((d <= loose) & (part[:, :, None, 4] != part[:, None, :, 4]) & np.tri(n, k=-1, dtype=bool))
+                x, y = part[g, i, 1], part[g, j, 1]
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64())], names=["u", "v", "value"])
+
+        held = np.zeros((0, 5), np.int64)
         for b in batches:
-            rows = np.concatenate([*held, np.stack([b.column(c).to_numpy() for c in ("value", "k", "aux", "aux2", "label")], 1)])
-            whole = len(rows) if not len(rows) else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if len(rows) - whole >= TOGETHER:  # of a value that goes on, what is complete by itself
-                whole += (len(rows) - whole) // TOGETHER * TOGETHER
-            if whole and (out := flush(rows[:whole])):
-                yield batch(out)
-            held = [rows[whole:]]
-        if out := flush(held[0]) if len(held[0]) else []:
-            yield batch(out)
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("value", "k", "aux", "aux2", "label")], 1)])
+            if not len(rows):
+                continue
+            first = rows[0, 0] if first is None else first
+            whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if whole >= 1 << 14 or len(rows) - whole > TOGETHER:
+                if whole:
+                    yield from flush(rows[:whole])
+                rows = rows[whole:]
+                if len(rows) > TOGETHER:  # of a value that goes on; what follows of it is known to be crowded
+                    crowded = rows[0, 0]
+                    yield from members(rows)
+                    rows = rows[:0]
+            held = rows
+        if len(held):
+            whole = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            if whole:
+                yield from flush(held[:whole])
+            yield from members(held[whole:])
 
     ready(classes.sparkSession)
     rows = classes.select("k", "signs", "label").mapInArrow(emit, "value long, k long, aux long, aux2 long, label long")
     spread = F.xxhash64("value", "k")
-    asked = Written(rows.repartitionByRange(F.col("value"), spread).sortWithinPartitions(F.col("value"), spread).mapInArrow(meet, "u long, v long"), "candidates").df.distinct()
+    found = Written(rows.repartitionByRange(F.col("value"), spread).sortWithinPartitions(F.col("value"), spread).mapInArrow(meet, "u long, v long, value long"), "candidates").df
     signs = classes.select("k", "signs")
+    asked = found.filter("value IS NULL").select("u", "v").distinct()
     both = asked.join(signs.withColumnsRenamed({"k": "u", "signs": "su"}), "u").join(signs.withColumnsRenamed({"k": "v", "signs": "sv"}), "v")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,13 +469,11 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
             yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
 
     near = Written(both.mapInArrow(sift, "u long, v long"), "near").df
-    nodes = near.select(F.col("u").alias("k")).unionAll(near.select(F.col("v").alias("k"))).distinct()
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, words).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["k", "h"])
-
-    sets = Written(texts.join(nodes, "k", "left_semi").select("k", "text").mapInArrow(sets_of, "k long, h binary").dropDuplicates(["k"]), "sets").df
+    of_many = found.filter("value IS NOT NULL").select("value", F.col("u").alias("k"), F.col("v").alias("label"))
+    kinds = of_many.groupBy("value").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
+    crowd = Written(of_many.join(kinds, "value", "left_semi"), "crowd").df
+    nodes = near.select(F.col("u").alias("k")).unionAll(near.select(F.col("v").alias("k"))).unionAll(crowd.select("k")).distinct()
+    sets = Written(texts.join(nodes, "k", "left_semi").select("k", "text").mapInArrow(as_sets(words), "k long, h binary").dropDuplicates(["k"]), "sets").df
     pairs = near.join(sets.withColumnsRenamed({"k": "u", "h": "hu"}), "u").join(sets.withColumnsRenamed({"k": "v", "h": "hv"}), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +486,8 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
 
-    return Written(pairs.mapInArrow(verify, "u long, v long"), "verified").df
+    verified = Written(pairs.mapInArrow(verify, "u long, v long"), "verified").df
+    return verified if crowd.isEmpty() else verified.unionAll(similar_sets(crowd, sets, similarity))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
@@ -454,7 +495,9 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
 
     Near duplicates have shingle sets of this Jaccard similarity or more, or are linked by such: every link is
     compared exactly, and a pair at the similarity is looked at with the chance ``recall``, or
-    always if a text has at most SHORT shingles. Texts without words are one group. A null doc_id counts as the largest.
+    always if a text has at most SHORT shingles. Texts without words, null and empty ones, are one group. A null doc_id
+    counts as the largest. Of rows that repeat id and text, one stays: the first by all columns. Columns of any name are
+    kept as they are. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +519,10 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
     of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
     chosen = Written(rows.select("id", "k", "th").join(best, ["id", "k"]).groupBy("id", "k").agg(F.min("th").alias("th")).select("id", "th"), "chosen").df
-    left = docs.withColumns({"_id": key, "_th": of_text}).join(chosen.withColumnsRenamed({"id": "_id", "th": "_th"}), ["_id", "_th"], "left_semi")
+    id_, th, all_ = fresh(docs, "id", "th", "all")
+    left = docs.withColumns({id_: key, th: of_text}).join(chosen.withColumnsRenamed({"id": id_, "th": th}), [id_, th], "left_semi")
     if not rows.join(chosen, ["id", "th"], "left_semi").groupBy("id", "th").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["_id", "_th"])
+        left = left.withColumn(all_, F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+        least = left.groupBy(id_, th).agg(F.min(all_).alias(all_))
+        left = left.join(least, [id_, th, all_], "left_semi").dropDuplicates([id_, th])
     return left.select(*docs.columns)

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.tables import Written, shared_dir
 
-__all__ = ["Written", "as_bytes", "below_rate", "blocks", "fold", "ready", "shared_dir"]
+__all__ = ["Written", "as_bytes", "below_rate", "blocks", "fold", "fresh", "ready", "shared_dir"]
 
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows would hold too many of them at once.
 BATCH_ROWS = 512
@@ -53,6 +53,18 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def below_rate(key: Column, seed: int, rate: float) -> Column:
     """True for a share ``rate`` of the keys, the same ones at any partitioning."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, rate) * (1 << 30)))

@@ -109,3 +109,85 @@ def test_partitions_keep_the_recall_at_any_size():
         assert parts * width <= simhash.SIGNS - 128
     with pytest.raises(ValueError):
         simhash.partitions(100, 0.1, 0.98)
+
+
+def labels_of(nodes, pairs):
+    label = {x: x for x in nodes}
+    while True:
+        moved = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+        if not moved:
+            return label
+
+
+@pytest.mark.parametrize(("block", "groups"), [(4096, None), (24, None), (24, ([list(range(32)), list(range(32, 64))], [0, 2]))])
+def test_connected_is_what_links_connect(spark, monkeypatch, block, groups):
+    """Dense groups, cut into blocks that meet, against all pairs; the output grows with the fingerprints only."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    if groups:
+        monkeypatch.setattr(simhash, "scheme", lambda fps, d: groups)
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) >> 1 for _ in range(60)}
+    for c in list(fps)[:6]:
+        for _ in range(120):
+            x = c
+            for b in rng.sample(range(60), rng.randrange(1, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    want = labels_of(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    found = [(r.u, r.v) for r in simhash.connected(df).collect()]
+    assert all((a ^ b).bit_count() for a, b in found)
+    assert labels_of(fps, found) == want
+
+
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    from orbweave.llm import meeting
+
+    monkeypatch.setattr(meeting, "MEMBERS", 20)
+    monkeypatch.setattr(meeting, "SMALL", 30)
+    rng = np.random.default_rng(2)
+    template = rng.integers(1, 1 << 60, 80)
+    sets, members = {}, []
+    for k in range(300):  # a family below the threshold, with pairs above it inside
+        own = rng.integers(1, 1 << 60, 30 if k % 3 else 26)
+        if k % 3 == 1:
+            own = np.concatenate([np.frombuffer(sets[k - 1], np.uint64)[-0:].astype(np.int64), rng.integers(1, 1 << 60, 10)])
+            sets[k] = np.unique(own.astype(np.uint64)).tobytes()
+        else:
+            sets[k] = np.unique(np.concatenate([template, own]).astype(np.uint64)).tobytes()
+        members += [(v, k, k if k % 7 else 0) for v in ({1, 2 + k // 40} if k % 5 else {1})]
+    arrays = {k: set(np.frombuffer(x, np.uint64).tolist()) for k, x in sets.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and len(arrays[a] & arrays[b]) >= 0.8 * len(arrays[a] | arrays[b])]
+    label = {k: lab for _, k, lab in members}
+    given = [(k, v) for k, v in label.items() if k != v]
+    want = labels_of(sets, near + given)
+    got = meeting.similar_sets(spark.createDataFrame(members, "value long, k long, label long").repartition(3), spark.createDataFrame(list(sets.items()), "k long, h binary"), 0.8).collect()
+    assert near and all(want[u] == want[v] for u, v in map(tuple, got))
+    assert labels_of(sets, [tuple(r) for r in got] + given) == want
+
+
+def test_a_family_below_the_similarity_keeps_its_pairs(spark):
+    """Many texts share a template, at about 0.7 with each other; pairs above 0.8 among them are all found, and nothing else goes."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.getrandbits(30)}"
+    template = [word() for _ in range(250)]
+    texts, want = [], set()
+    for k in range(400):
+        text = template + [word() for _ in range(52)]
+        want.add(len(texts))
+        texts.append(text)
+        if k % 8 == 0:
+            texts.append(text[:-8] + [word() for _ in range(8)])
+    df = spark.createDataFrame([(k, " ".join(t), "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in simhash.keep_one(df.repartition(3)).collect()} == want
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(5, "a b c d e f", "x", 1, 2), (3, "a b c d e f", "z", 3, 4), (3, "a b c d e f", "y", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _th int, id int")
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [rows[2]]
