@@ -229,14 +229,19 @@ def identify(docs: DataFrame, trees: Trees | None, held_out: Column) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
 
 
-def keep(docs: DataFrame, trees: Trees | None, least: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is in a learned language with a score of ``least`` or more."""
+def keep(docs: DataFrame, trees: Trees | None, least: float, most_bits: float = 8.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language with a score of ``least`` or more.
+
+    A text that takes ``most_bits`` a byte or more under its best language isn't in it either: at 8, the language's
+    statistics don't shorten it at all, as with scripts and noise that no language learned from has. Null and empty
+    texts and those without a letter go; repeated rows are judged alike; an empty table gives an empty result.
+    """
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = named(b.column("text").to_pylist(), shared.value)
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score >= least and cost < most_bits for lang, score, cost in found], pa.bool_()))
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by a temperature, realised as budgeted block permutations.
 
-A source with token share ``q`` gets the weight ``q^a / sum(q^a)``. The exponent ``a`` in [0, 1] is searched
-so that the weights have a target entropy (a share of the largest possible one), or so that they are as even
+A source with token share ``q`` gets the weight ``q^a / sum(q^a)``. The exponent ``a`` is searched, in [0, 1] or, for an
+entropy below that of the shares, above 1, so that the weights have a target entropy (a share of the largest possible one), or so that they are as even
 as they can be while no source's budget repeats it more than ``repeats`` times. Each step of the search is one
 aggregation over the sources that tries ``GRID`` exponents at once; sources are never collected.
 
 A source's budget is its weight times all tokens to spend. It is spent in epochs. Every epoch deals the
-source's documents in its own order: blocks (about ``PER_BLOCK`` documents by a hash of the id, at most
-``BLOCKS``) by a hash of epoch and block, and a block's documents by a hash of epoch and id. Full epochs take
+source's documents in its own order: blocks (about ``PER_BLOCK`` documents by a hash of the id, more where a source
+would have over ``BLOCKS`` of them) by a hash of epoch and block, and a block's documents by a hash of epoch and id. Full epochs take
 every document; the last takes documents in order as long as they fit, or, on request, if it is the only one, all
 that start within the budget, so that no source is left out and rounding loses no document. Prefix sums run over a source's blocks
 (bounded) and within the one block where the budget ends, so a source of any size is dealt without bringing
@@ -59,20 +59,22 @@ class Plan:
 def plan(light: DataFrame, entropy: float | None = None, repeats: float | None = None, part: float = 1.0) -> Plan | None:
     """Weights and budgets for ``light`` (doc_id, source, tokens); ``None`` without documents.
 
-    Just one of ``entropy`` (0 to 1) and ``repeats`` (``part`` or more). ``part``: the tokens to spend, as a
-    share of all tokens; with ``repeats=1`` and less than all, no document is taken twice.
+    Just one of ``entropy`` (0 to 1, a share of the largest possible) and ``repeats`` (``part`` or more). ``part``: the
+    tokens to spend, as a share of all tokens; with ``repeats=1`` and less than all, no document is taken twice. An
+    entropy that no exponent reaches, as where the largest sources are equal, raises.
     """
-    if (entropy is None) == (repeats is None) or (repeats is not None and repeats < part):
-        raise ValueError("give one of entropy and repeats, and repeats of at least part")
+    if (entropy is None) == (repeats is None) or (repeats is not None and repeats < part) or (entropy is not None and not 0 <= entropy <= 1):
+        raise ValueError("give one of entropy (0 to 1) and repeats (of at least part)")
     sources = Written(light.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total")), "sources").df
     facts = sources.agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.min("total").alias("least"), F.max("total").alias("most")).first()
     if not facts["n"]:
         return None
     all_tokens = int(facts["total"])
     share = F.col("total") / F.lit(float(all_tokens))
+    relative = F.col("total") / F.lit(float(facts["most"]))  # the same weights, and no power of the largest vanishes
 
     def tried(a: float) -> list[Column]:
-        p = F.pow(share, F.lit(a))
+        p = F.pow(share if a <= 1 else relative, F.lit(a))
         return [F.sum(p), F.sum(p * F.log(p))]
 
     def even_enough(a: float, row, k: int) -> bool:
@@ -84,6 +86,13 @@ def plan(light: DataFrame, entropy: float | None = None, repeats: float | None =
         return math.log(norm) - plog / norm <= entropy * math.log(facts["n"]) + 1e-12
 
     lo, step, exponent = 0.0, 1.0 / GRID, 1.0
+    if entropy is not None and not even_enough(1.0, sources.agg(*tried(1.0)).first(), 0):
+        ends = [2.0**k for k in range(1, 13)]
+        row = sources.agg(*[c for a in ends for c in tried(a)]).first()
+        end = next((a for k, a in enumerate(ends) if even_enough(a, row, k)), None)
+        if end is None:
+            raise ValueError(f"no exponent gives these sources an entropy of {entropy} of the largest: the largest ones are too even")
+        lo, step, exponent = end / 2, end / 2 / GRID, end
     for _ in range(ROUNDS):
         grid = [lo + k * step for k in range(GRID + 1)]
         row = sources.agg(*[c for a in grid for c in tried(a)]).first()
@@ -92,8 +101,9 @@ def plan(light: DataFrame, entropy: float | None = None, repeats: float | None =
         if k == 0:
             break
         lo, step = grid[k - 1], step / GRID
-    norm = sources.agg(F.sum(F.pow(share, F.lit(exponent)))).first()[0]
-    weighted = sources.withColumn("weight", F.round(F.pow(share, F.lit(exponent)) / F.lit(norm), 12))
+    power = F.pow(share if exponent <= 1 else relative, F.lit(exponent))
+    norm = sources.agg(F.sum(power)).first()[0]
+    weighted = sources.withColumn("weight", F.round(power / F.lit(norm), 12))
     spend = int(part * all_tokens)
     budget = F.floor(F.col("weight") * F.lit(float(spend))).cast("long")
     planned = (
@@ -135,10 +145,12 @@ def cuts(rows: DataFrame, made: Plan, seed: int, started: bool = False) -> DataF
 
 
 def dealt(rows: DataFrame, made: Plan, seed: int = 7, started: bool = False) -> DataFrame:
-    """``rows`` (doc_id, source, tokens and any others), each once for every time that it is taken, with epoch, block, block_key and doc_key.
+    """(doc_id, source, tokens, row, epoch, block, block_key, doc_key): each of ``rows`` once for every time that it is taken.
 
-    ``started``: of a source that isn't taken whole even once, the document in which its budget ends is taken too.
+    ``rows`` has doc_id, source, tokens and others of any name; ``row`` holds all of them as they were. ``started``: of
+    a source that isn't taken whole even once, the document in which its budget ends is taken too.
     """
+    rows = rows.select("doc_id", "source", "tokens", F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     planned = made.sources.select("source", "blocks", "epochs", "rest")
     known = rows.join(planned, "source")
     end = Written(cuts(known.select("doc_id", "source", "tokens", "blocks", "epochs", "rest"), made, seed, started), "cuts").df

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from orbweave.llm.store import Written, as_bytes, ready
+from orbweave.llm.store import Written, as_bytes, fresh, ready
 
 LENGTH = 400
 K = 128
@@ -365,8 +365,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
     """The rows of ``docs``, with all their columns, the removed bytes cut from ``text``.
 
     ``words``: what lies in a repeated window of so many words goes too (more than WORDS_K), however few bytes it has.
-    Where a cut runs through a character, what is left of it goes too. Null texts stay null.
+    Where a cut runs through a character, what is left of it goes too. Null texts stay null, and texts that repeat as a
+    whole become empty; no row goes. Columns of any name are kept as they are. An empty table gives an empty result.
     """
+    k1_, k2_, copied_, ranges_, words_ = fresh(docs, "k1", "k2", "copied", "ranges", "words")
     repeats = Repeats(docs, length, k, matcher, keep_scan=False)
     of_words = repeats.ranges.filter("false")
     if words is not None:
@@ -376,13 +378,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [key_of(x) for x in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())], names=[*b.schema.names, "_k1", "_k2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())], names=[*b.schema.names, k1_, k2_])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
             out = []
-            for text, copied, ranges, by_word in zip(*(b.column(c).to_pylist() for c in (at, "_copied", "_ranges", "_words")), strict=True):
+            for text, copied, ranges, by_word in zip(*(b.column(c).to_pylist() for c in (at, copied_, ranges_, words_)), strict=True):
                 data = text.encode() if text and (copied or ranges or by_word) else b""
                 if copied and (len(data) >= length or (words is not None and len(data.split()) >= words)):
                     text = ""
@@ -393,10 +395,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, matcher:
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)][:-3]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-3])
 
-    both = T.StructType([*plain.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
-    copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("_copied"))
-    what = copies.join(repeats.ranges.withColumnRenamed("ranges", "_ranges"), ["k1", "k2"], "full").join(of_words.withColumnRenamed("ranges", "_words"), ["k1", "k2"], "full").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    joined = plain.mapInArrow(classed, both).join(what.hint("merge"), ["_k1", "_k2"], "left").select(*plain.columns, "_copied", "_ranges", "_words")
+    both = T.StructType([*plain.schema.fields, T.StructField(k1_, T.LongType()), T.StructField(k2_, T.LongType())])
+    copies = repeats.classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias(copied_))
+    what = copies.join(repeats.ranges.withColumnRenamed("ranges", ranges_), ["k1", "k2"], "full").join(of_words.withColumnRenamed("ranges", words_), ["k1", "k2"], "full").withColumnsRenamed({"k1": k1_, "k2": k2_})
+    joined = plain.mapInArrow(classed, both).join(what.hint("merge"), [k1_, k2_], "left").select(*plain.columns, copied_, ranges_, words_)
     return joined.mapInArrow(cut, plain.schema)
 
 

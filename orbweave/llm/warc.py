@@ -19,10 +19,13 @@ resolved each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,15 +143,27 @@ def resolve(captures: DataFrame) -> DataFrame:
     return resolved.unionByName(rest.select("record_id", canonical(F.col("url")).alias("url"), "at", F.lit("missing").alias("outcome"), F.lit(None).cast("string").alias("matched"), F.lit(None).cast("map<string,string>").alias("headers")))
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The decompressed content of each gzip member; the data itself if it isn't compressed."""
+#: Bytes read from a file at a time.
+CHUNK = 1 << 20
+
+
+def inflated(stream: BinaryIO) -> Iterator[bytes]:
+    """What a stream holds, piece by piece; gzip members, if it has them, decompressed."""
+    data = stream.read(CHUNK)
     if data[:2] != b"\x1f\x8b":
-        yield data
+        while data:
+            yield data
+            data = stream.read(CHUNK)
         return
+    inflate = zlib.decompressobj(31)
     while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+        while data:
+            yield inflate.decompress(data, CHUNK)
+            data = inflate.unconsumed_tail
+            if inflate.eof:
+                data, inflate = inflate.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+        data = stream.read(CHUNK)
+    yield inflate.flush()
 
 
 def _head(data: bytes, at: int) -> tuple[list[tuple[str, str]], int]:
@@ -158,42 +173,68 @@ def _head(data: bytes, at: int) -> tuple[list[tuple[str, str]], int]:
     return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], end + 4
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Captures in a WARC file's bytes: its response and not-modified revisit records."""
-    for part in members(data):
-        at = 0
-        while (at := part.find(b"WARC/1.", at)) >= 0:
-            head, body = _head(part, part.find(b"\r\n", at) + 2)
-            h = {k.lower(): v for k, v in head}
-            size = int(h.get("content-length", 0))
-            block, at = part[body : body + size], body + size
-            kind = h.get("warc-type")
-            if kind not in ("response", "revisit") or (kind == "revisit" and "server-not-modified" not in h.get("warc-profile", "")):
-                continue
-            http, start = _head(block, 0)
-            status = block.split(b"\r\n", 1)[0].split(b" ")
-            yield {"record_id": h.get("warc-record-id"), "kind": kind, "url": h.get("warc-target-uri", "").strip("<>") or None, "date": h.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": [(k.lower(), v) for k, v in http[1:]], "payload": block[start:] if kind == "response" else None}
+def parse(stream: BinaryIO) -> Iterator[dict]:
+    """Captures in a WARC file: its response and not-modified revisit records. Holds one record at a time."""
+    pieces, held, over = inflated(stream), bytearray(), False
+
+    def more() -> bool:
+        nonlocal over
+        piece = next(pieces, None)
+        over = piece is None
+        held.extend(piece or b"")
+        return not over
+
+    while True:
+        while (at := held.find(b"WARC/1.")) < 0 and more():
+            del held[: max(0, len(held) - CHUNK - 6)]
+        if at < 0:
+            return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        head, body = _head(bytes(held[: end + 4] if end >= 0 else held), held.find(b"\r\n") + 2)
+        h = {k.lower(): v for k, v in head}
+        size = int(h.get("content-length", 0))
+        while len(held) < body + size and more():
+            pass
+        block = bytes(held[body : body + size])
+        del held[: body + size]
+        kind = h.get("warc-type")
+        if kind not in ("response", "revisit") or (kind == "revisit" and "server-not-modified" not in h.get("warc-profile", "")):
+            continue
+        http, start = _head(block, 0)
+        status = block.split(b"\r\n", 1)[0].split(b" ")
+        yield {"record_id": h.get("warc-record-id"), "kind": kind, "url": h.get("warc-target-uri", "").strip("<>") or None, "date": h.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": [(k.lower(), v) for k, v in http[1:]], "payload": block[start:] if kind == "response" else None}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``CAPTURES`` of the WARC files at ``path``, compressed by record or not; a file is read by one task."""
+    """``CAPTURES`` of the WARC files at ``path``, compressed or not.
+
+    Spark lists the files; a task streams each of its own through Arrow's file systems and holds one record and a batch
+    of 256 captures, or of 4 MB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         for b in batches:
-            for data in b.column(0).to_pylist():
+            for path in b.column(0).to_pylist():
+                uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path))
+                store, name = fs.FileSystem.from_uri(uri)
                 held: list[dict] = []
-                for r in parse(data):
-                    r["headers"] = list(dict(r["headers"]).items())
-                    held.append(r)
-                    if len(held) == 256:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+                size = 0
+                with store.open_input_stream(name, compression=None) as stream:
+                    for r in parse(stream):
+                        r["headers"] = list(dict(r["headers"]).items())
+                        held.append(r)
+                        size += len(r["payload"] or b"")
+                        if len(held) == 256 or size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(held, schema)
+                            held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     ready(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path")
     raw = files.mapInArrow(run, "record_id string, kind string, url string, date string, status int, headers map<string,string>, payload binary")
     return raw.select("record_id", "kind", "url", F.try_to_timestamp("date").alias("at"), "status", "headers", "payload")
 

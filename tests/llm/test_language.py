@@ -78,3 +78,14 @@ def test_identify(spark):
     assert learn(none) is None
     assert {r.lang_pred for r in identify(none, None, held).collect()} == {"und"}
     assert identify(df.limit(0), trees, held).count() == 0
+
+
+def test_foreign_scripts_are_rejected(spark):
+    """The score can't tell them, as one language is always the likeliest; their code lengths can."""
+    rows = [(k, "the of and to in that it was for on are as with his they " * 3, "en") for k in range(20)] + [(100 + k, "der die und in den von zu das mit sich des auf für ist im " * 3, "de") for k in range(20)]
+    odd = [(900, "это обычный русский текст без латинских букв", "x"), (901, "東京は日本の首都であり最大の都市です", "x"), (902, None, "x"), (903, "", "x"), (904, "12 ---", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = learn(docs)
+    both = docs.unionAll(spark.createDataFrame(odd, docs.schema))
+    assert {r.doc_id for r in keep(both, known, 0.5).collect()} == {r[0] for r in rows}
+    assert keep(docs.limit(0), known, 0.5).count() == 0

@@ -2,6 +2,7 @@ from collections import Counter
 from math import log
 
 import duckdb
+import pytest
 
 from orbweave.llm import mixing
 
@@ -52,3 +53,22 @@ def test_no_repeats(spark):
 
 def test_empty(spark):
     assert mixing.mix(docs(spark).limit(0), repeats=2.0).count() == 0
+
+
+def test_entropy_below_that_of_the_shares(spark):
+    rows = [(k, "w" * 400, s, "") for k, s in enumerate(["a"] * 60 + ["b"] * 30 + ["c"] * 10)]
+    few = mixing.light(spark.createDataFrame(rows, SCHEMA))
+    made = mixing.plan(few, entropy=0.3)
+    assert made.exponent > 1
+    assert abs(-sum(r.weight * log(r.weight) for r in made.sources.collect()) - 0.3 * log(3)) < 1e-4
+    even = mixing.light(spark.createDataFrame([r for r in rows if r[2] != "c"][30:], SCHEMA))
+    with pytest.raises(ValueError, match="too even"):
+        mixing.plan(even, entropy=0.5)
+
+
+def test_clashing_columns(spark):
+    names = ["blocks", "epochs", "rest", "block", "epoch", "doc_key", "block_key", "times", "at_block"]
+    rows = [(k, "s", 5, *range(k, k + len(names))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long, " + ", ".join(f"{n} long" for n in names))
+    made = mixing.plan(df.select("doc_id", "source", "tokens"), repeats=1.0)
+    assert sorted(tuple(r.row) for r in mixing.dealt(df, made).collect()) == rows

@@ -62,3 +62,40 @@ def test_empty_table_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.n_removed) for r in digest(df, LENGTH, K).collect()), key=str)
     assert got == [(1, 0), (1, 50), (None, 50)]
     assert digest(df.limit(0), LENGTH, K).count() == 0
+
+
+def test_clashing_columns(spark):
+    from orbweave.llm.suffix_dedup import without_repeats
+
+    rows = [(1, "x" * 30 + "same passage of thirty bytes!!", 1, 2, None, "a"), (2, "y" * 30 + "same passage of thirty bytes!!", 3, 4, [1], "b"), (3, None, 5, 6, [], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 int, K2 long, _ranges array<int>, _Copied string")
+    got = sorted(tuple(r) for r in without_repeats(df, length=24, k=8).collect())
+    assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in rows]
+    assert all("passage" not in (r[1] or "") for r in got)
+
+
+def test_query_against_brute_force(spark):
+    """op4 as it is registered, over a whole table: every column equal to what windows counted in plain Python give."""
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    at = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
+    seen = {}
+    for text in docs.values():
+        for a in range(len(text) - 399):
+            h = hash(text[a : a + 400])
+            seen[h] = seen.get(h, 0) + 1
+    want = {}
+    for d, text in docs.items():
+        gone = bytearray(len(text))
+        for a in range(len(text) - 399):
+            if seen[hash(text[a : a + 400])] > 1:
+                gone[a : a + 400] = b"\1" * 400
+        rest = bytes(c for c, g in zip(text, gone, strict=True) if not g)
+        spans = sum(1 for x in bytes(gone).split(b"\0") if x)
+        want[d] = (len(text), sum(gone), spans, hashlib.sha256(rest).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in entry.queries()["op4_suffix_array_dedup"](spark, at).collect()}
+    assert got == want
+    assert sum(r[1] for r in want.values()) > 10_000

@@ -79,3 +79,16 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/?x=1", "<p>"), (2, "http://a/?x=1#b", None), (3, None, "q")], "page_id long, url string, html string")
     got = {r.record_id: (r.outcome, r.matched) for r in page_captures.resolved(pages).collect()}
     assert got == {"revisit-1": ("changed", "page-2"), "revisit-2": ("resolved", "page-2"), "revisit-3": ("missing", None)}
+
+
+def test_files_are_streamed(monkeypatch):
+    """Records over many reads, one gzip member for all of them, and trailing noise."""
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", 37)
+    body = bytes(range(256)) * 3 + b"WARC/1.0\r\n\r\n"
+    data = b"".join(warc.record("response", f"<urn:{k}>", f"http://h/{k}", "2024-01-01T00:00:00Z", "200 OK", {"a": str(k)}, body * k) for k in range(6))
+    for packed in (data, gzip.compress(data), b"".join(gzip.compress(data[a : a + 500]) for a in range(0, len(data), 500)), data + b"noise"):
+        got = list(warc.parse(io.BytesIO(packed)))
+        assert [(r["record_id"], r["payload"]) for r in got] == [(f"<urn:{k}>", body * k) for k in range(6)]
+    assert list(warc.parse(io.BytesIO(b""))) == []
