@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Largest inner products are made nearest points: with R the largest norm of all vectors, ``x`` becomes
-``(x, sqrt(R^2 - |x|^2))``, whose distance from ``(q, 0)`` falls as the product rises. Distinct vectors are
-dealt by hash to shards of about ``SHARD``. A shard's graph has levels of geometrically falling size; on each
+``(x, sqrt(R^2 - |x|^2))``, whose distance from ``(q, 0)`` falls as the product rises. Distinct vectors go to the cell
+of their nearest centroid (``cells``: k-means on a bounded sample, at most ``CELLS``), and a cell with more than
+``SHARD`` of them is dealt by hash to shards of about that size. A shard's graph has levels of geometrically falling size; on each
 level a point's links are chosen from its nearest points there (found by block products, since a shard is
 small) by the usual rule that a link must be nearer to its point than to any link chosen before, and links
 run both ways. The graph is kept as flat arrays: vectors, and for each level its members and their
@@ -12,6 +13,10 @@ A search goes greedily down to the lowest level and there keeps the ``beam`` bes
 unexpanded ones until none is left; a block of queries advances together. Each shard's ``k`` best are scored
 exactly, in double precision on the original vectors, and the shards' results merged.
 
+A query visits the shards of the cells that are nearest to it: as many cells as hold the share ``found`` of the true
+neighbours of ``CALIBRATE`` queries, drawn by a hash of their ids and compared with every vector (``probes``). Where
+vectors have no clusters that is nearly all cells. A shard's graph is sent once for every ``TOGETHER`` blocks of queries.
+
 Equal vectors are one point of a graph, standing for the ``k + 1`` smallest ids that have it (no other can be
 among a query's k nearest), so copies cost nothing and crowd nobody out.
 
@@ -27,16 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.store import Written, ready
+from orbweave.llm.store import Written, below_rate, ready
 from orbweave.llm.vectors import keyed
 
 SHARD = 8192
 LINKS = 16
 POOL = 64
 QUERIES = 1024
+#: The most cells, the vectors that centroids are fitted on, and the queries that say how many cells to visit.
+CELLS, SAMPLE, CALIBRATE = 1024, 8192, 200
+#: Blocks of queries that one copy of a shard's graph serves.
+TOGETHER = 8
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,85 +163,193 @@ class Graph:
         r, c = np.nonzero((ids[:, :k] >= 0) & np.isfinite(dist[:, :k]))
         return r, ids[r, c]
 
-    def parts(self) -> tuple[bytes, list[bytes], list[bytes]]:
-        return self.x.tobytes(), [m.tobytes() for m in self.members], [x.tobytes() for x in self.links]
+    def parts(self) -> tuple[list[bytes], list[bytes]]:
+        return [m.tobytes() for m in self.members], [x.tobytes() for x in self.links]
 
     @classmethod
-    def of(cls, x: bytes, members: list[bytes], links: list[bytes], width: int) -> Graph:
+    def of(cls, x: np.ndarray, members: list[bytes], links: list[bytes]) -> Graph:
         g = cls.__new__(cls)
-        g.x = np.frombuffer(x, np.float32).reshape(-1, width)
+        g.x = np.ascontiguousarray(x, np.float32)
         g.members = [np.frombuffer(m, np.int32) for m in members]
         g.links = [np.frombuffer(y, np.int32).reshape(len(m), -1) for m, y in zip(g.members, links, strict=True)]
         return g
 
 
-def index(classes: DataFrame, largest: float, shards: int) -> DataFrame:
-    """(shard, dim, keys, vs, x, members, links): a graph per shard over ``classes`` (k1, v)."""
+def lifted(v: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors as points whose distance from a query's falls as their product with it rises."""
+    v = v / largest
+    return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1, keepdims=True), 0))], 1)
+
+
+def asked(q: np.ndarray) -> np.ndarray:
+    """Queries as points."""
+    return np.concatenate([q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), np.zeros((len(q), 1))], 1)
+
+
+def cells(x: np.ndarray, n: int, steps: int = 8) -> np.ndarray:
+    """``n`` centroids of points by k-means, from evenly spread ones; a centroid without points stays where it is."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)].copy()
+    for _ in range(steps):
+        of = nearest_cells(x, c, 1)[:, 0]
+        size = np.bincount(of, minlength=n)
+        order = np.argsort(of, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        full = size > 0
+        c[full] = np.add.reduceat(x[order], begin[full], 0) / size[full, None]
+    return c
+
+
+def nearest_cells(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of each point, nearest first."""
+    d = (c * c).sum(1)[None] - 2 * x @ c.T
+    return np.argsort(d, 1, kind="stable")[:, :n] if n > 1 else d.argmin(1)[:, None]
+
+
+def index(placed: DataFrame, largest: float) -> DataFrame:
+    """(shard, dim, keys, vs, members, links): a graph per shard over ``placed`` (k1, v, shard, dim)."""
 
     def build(table: pa.Table) -> pa.Table:
         k = table.column("k1").to_numpy()
         order = np.argsort(k)
         vs = table.column("v").to_pylist()
         raw = b"".join(vs[i] for i in order)
-        v = np.frombuffer(raw, "<f8").reshape(len(k), -1) / largest
-        x = np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1, keepdims=True), 0))], 1)
+        x = lifted(np.frombuffer(raw, "<f8").reshape(len(k), -1), largest)
         draw = ((k[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
         height = np.minimum((-np.log(np.minimum(draw, 1)) / np.log(LINKS)).astype(np.int64), 8)
-        points, members, links = Graph(x, height).parts()
+        members, links = Graph(x, height).parts()
         first = table.slice(0, 1)
-        return pa.table([first.column("shard"), first.column("dim"), pa.array([k[order].tobytes()]), pa.array([raw]), pa.array([points]), pa.array([members], pa.list_(pa.binary())), pa.array([links], pa.list_(pa.binary()))], names=["shard", "dim", "keys", "vs", "x", "members", "links"])
+        return pa.table([first.column("shard"), first.column("dim"), pa.array([k[order].tobytes()]), pa.array([raw]), pa.array([members], pa.list_(pa.binary())), pa.array([links], pa.list_(pa.binary()))], names=["shard", "dim", "keys", "vs", "members", "links"])
+
+    return placed.select("shard", "dim", "k1", "v").groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, keys binary, vs binary, members array<binary>, links array<binary>")
 
-    dealt = classes.select("k1", "v", (F.length("v") / 8).cast("int").alias("dim"), F.pmod(F.xxhash64("k1", F.lit(2)), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, keys binary, vs binary, x binary, members array<binary>, links array<binary>")
 
+def probes(classes: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, found: float) -> int:
+    """How many cells a query visits so that these hold the share ``found`` of the k nearest ``classes`` (v, cell).
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 160, shard: int = SHARD) -> DataFrame:
+    By the true neighbours, in double precision, of at most CALIBRATE of the ``queries`` (vec_id, v).
+    """
+    drawn = queries.select("v").orderBy(F.xxhash64("vec_id", F.lit(3)), "v").limit(CALIBRATE).toArrow().column("v").to_pylist()
+    if not drawn:
+        return 1
+    q = np.array([np.frombuffer(v, "<f8") for v in drawn])
+    shared = classes.sparkSession.sparkContext.broadcast(q)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        top, of = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), -1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.frombuffer(b"".join(b.column(0).to_pylist()), "<f8").reshape(b.num_rows, -1)
+            s, c = np.concatenate([top, q @ v.T], 1), np.concatenate([of, np.broadcast_to(b.column(1).to_numpy(), (len(q), b.num_rows))], 1)
+            at = np.argpartition(-s, k, 1)[:, : k + 1]
+            top, of = np.take_along_axis(s, at, 1), np.take_along_axis(c, at, 1)
+        i, j = np.nonzero(of >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(top[i, j]), pa.array(of[i, j].astype(np.int32))], names=["q", "score", "cell"])
+
+    near = classes.select("v", "cell").mapInArrow(best, "q int, score double, cell int")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).filter(F.col("r") <= k + 1)
+    got = first.groupBy("q", "cell").agg(F.count("*").alias("n")).toArrow()
+    order = nearest_cells(asked(q), centroids, len(centroids))
+    place = np.argsort(order, 1)
+    held = np.bincount(place[got.column("q").to_numpy(), got.column("cell").to_numpy()], got.column("n").to_numpy(), len(centroids))
+    return int(np.searchsorted(np.cumsum(held) / held.sum(), found - 1e-12)) + 1
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 160, shard: int = SHARD, found: float = 0.98) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``rows`` (vec_id, embedding) with ``is_query``."""
-    ready(rows.sparkSession)
+    spark = rows.sparkSession
+    ready(spark)
     all_ = Written(keyed(rows.filter(F.col("vec_id").isNotNull()), F.lit(0)).filter(F.col("v").isNotNull()), "vectors").df
     by_age = Window.partitionBy("k1", "k2").orderBy("vec_id")
     members = Written(all_.select("k1", "k2", "vec_id").withColumn("nth", F.row_number().over(by_age)).filter(F.col("nth") <= k + 1), "members").df
-    classes = Written(all_.groupBy("k1", "k2").agg(F.first("v").alias("v")), "classes").df
+    dim = (F.length("v") / 8).cast("int")
+    classes = Written(all_.groupBy("k1", "k2").agg(F.first("v").alias("v")).withColumn("dim", dim), "classes").df
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(np.frombuffer(v, "<f8"))) for v in b.column(0).to_pylist()], pa.float64())], names=["norm"])
-
-    size = classes.select("v").mapInArrow(norms, "norm double").agg(F.count("*").alias("n"), F.max("norm").alias("most")).first()
-    shards = max(1, -(-size["n"] // shard))
-    graphs = Written(index(classes, size["most"] or 1.0, shards), "graphs").df
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([float(np.linalg.norm(np.frombuffer(v, "<f8"))) for v in b.column(0).to_pylist()], pa.float64())], names=["dim", "norm"])
+
+    size = classes.select("v", "dim").mapInArrow(norms, "dim int, norm double").groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy(F.col("n").desc(), "dim")
+    main = size.first()
+    largest = size.agg(F.max("most")).first()[0] or 1.0
+    wide, n = (main["dim"], main["n"]) if main else (0, 0)
+    count = min(CELLS, max(1, -(-n // shard)))
+    centroids = np.zeros((1, wide + 1))
+    if count > 1:
+        sample = classes.filter(F.col("dim") == wide).filter(below_rate(F.col("k1"), 4, SAMPLE / n)).select("k1", "v").toArrow().sort_by("k1")
+        centroids = cells(lifted(np.array([np.frombuffer(v, "<f8") for v in sample.column("v").to_pylist()]), largest), min(count, sample.num_rows))
+    shared = spark.sparkContext.broadcast(centroids)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = np.zeros(b.num_rows, np.int32)
+            mine = np.flatnonzero(b.column(2).to_numpy() == wide)
+            if len(mine) and len(shared.value) > 1:
+                vs = b.column(1).to_pylist()
+                of[mine] = nearest_cells(lifted(np.array([np.frombuffer(vs[i], "<f8") for i in mine]), largest), shared.value, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of)], names=["k1", "v", "dim", "cell"])
+
+    celled = Written(classes.select("k1", "v", "dim").mapInArrow(place, "k1 long, v binary, dim int, cell int"), "cells").df
+    # a row for each cell, and for each other length of vectors
+    parts = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
+    whole = celled.filter(F.col("dim") == wide).groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")).toArrow()
+    of_cell = dict(zip(whole.column("cell").to_pylist(), whole.column("parts").to_pylist(), strict=True))  # at most CELLS
+    placed = celled.join(parts, ["dim", "cell"]).withColumn("shard", (F.col("cell") + CELLS * F.pmod(F.xxhash64("k1", F.lit(2)), F.col("parts"))).cast("int"))
+    graphs = Written(index(placed, largest), "graphs").df
+    queries = all_.filter(is_query).select("vec_id", "v")
+    visit = 1 if len(centroids) == 1 else probes(celled.filter(F.col("dim") == wide), queries.filter(dim == wide), centroids, k, found)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        total = made = 0
 
-        def flush(dim: int) -> pa.RecordBatch:
-            got = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array([i for i, _ in got], "<i8").tobytes()]), pa.array([b"".join(v for _, v in got)])], names=["dim", "ids", "qs"])
+        def flush(where: tuple[int, int]) -> pa.RecordBatch:
+            nonlocal total, made
+            got = held.pop(where)
+            total, made = total - len(got), made + 1
+            at = (TaskContext.get().partitionId() << 32) + made
+            return pa.RecordBatch.from_arrays([pa.array([where[0]], pa.int32()), pa.array([where[1]], pa.int32()), pa.array([at], pa.int64()), pa.array([np.array([i for i, _ in got], "<i8").tobytes()]), pa.array([b"".join(v for _, v in got)])], names=["dim", "cell", "at", "ids", "qs"])
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(len(v) // 8, []).append((i, v))
-                if len(held[len(v) // 8]) == QUERIES:
-                    yield flush(len(v) // 8)
-        for dim in sorted(held):
-            yield flush(dim)
-
-    asked = Written(all_.filter(is_query).select("vec_id", "v").mapInArrow(gather, "dim int, ids binary, qs binary"), "queries").df
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dim"])
+                near = [0]
+                if len(v) // 8 == wide and len(shared.value) > 1:
+                    near = nearest_cells(asked(np.frombuffer(v, "<f8")[None]), shared.value, visit + 1)[0, :visit].tolist()
+                for c in near:
+                    held.setdefault((len(v) // 8, c), []).append((i, v))
+                    total += 1
+                    if len(held[len(v) // 8, c]) == QUERIES:
+                        yield flush((len(v) // 8, c))
+                while total > 8 * QUERIES:
+                    yield flush(max(held, key=lambda x: len(held[x])))
+        for where in sorted(held):
+            yield flush(where)
+
+    blocks = Written(queries.mapInArrow(gather, "dim int, cell int, at long, ids binary, qs binary"), "queries").df
+    met = blocks.join(parts, ["dim", "cell"]).withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (F.col("cell") + CELLS * p).cast("int"))))
+    copies = met.groupBy("shard", "dim").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("copies"))
+    none = F.lit(None)
+    sent = graphs.join(copies, ["shard", "dim"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("shard", "dim", "copy", none.cast("binary").alias("ids"), none.cast("binary").alias("qs"), "keys", "vs", "members", "links")
+    put = met.join(copies, ["shard", "dim"]).select("shard", "dim", F.pmod(F.xxhash64("at"), F.col("copies")).cast("int").alias("copy"), "ids", "qs", none.cast("binary").alias("keys"), none.cast("binary").alias("vs"), none.cast("array<binary>").alias("members"), none.cast("array<binary>").alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, key, v = None, np.zeros(0, np.int64), np.zeros((0, 0))
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r].as_py() for c in ("dim", "ids", "qs", "keys", "vs", "x", "members", "links")}
-                ids, q, key, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["qs"], "<f8").reshape(-1, row["dim"]), np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["vs"], "<f8").reshape(-1, row["dim"])
-                g = Graph.of(row["x"], row["members"], row["links"], row["dim"] + 1)
-                norm = np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                at, point = g.search(np.concatenate([q / norm, np.zeros((len(q), 1))], 1), min(k + 1, len(v)), max(beam, k + 1))
+                row = {c: b.column(c)[r].as_py() for c in ("dim", "ids", "qs", "keys", "vs", "members", "links")}
+                if row["keys"] is not None:  # a shard's graph comes before its queries
+                    key, v = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["vs"], "<f8").reshape(-1, row["dim"])
+                    g = Graph.of(lifted(v, largest), row["members"], row["links"])
+                    continue
+                ids, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["qs"], "<f8").reshape(-1, row["dim"])
+                at, point = g.search(asked(q), min(k + 1, len(v)), max(beam, k + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[point]), pa.array(np.einsum("ij,ij->i", q[at], v[point]))], names=["query_id", "k1", "score"])
 
-    found = met.mapInArrow(run, "query_id long, k1 long, score double")
+    both = sent.unionAll(put).repartition("shard", "dim", "copy").sortWithinPartitions("shard", "dim", "copy", F.col("keys").isNull())
+    hits = both.mapInArrow(run, "query_id long, k1 long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    merged = Written(found.withColumn("r", F.rank().over(nearest)).filter(F.col("r") <= k + 1), "found").df  # ties stay
+    merged = Written(hits.withColumn("r", F.rank().over(nearest)).filter(F.col("r") <= k + 1), "found").df  # ties stay
     named = merged.join(members.select("k1", "vec_id"), "k1").filter("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return named.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,3 +70,26 @@ def test_search(spark, monkeypatch):
     assert sorted((r["rank"], r.vec_id) for r in hnsw.search(few, F.col("vec_id") == 0).collect())[0][0] == 1
     assert hnsw.search(few, F.col("vec_id") == 0).count() == 3
     assert hnsw.search(few.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_search_visits_few_cells_where_there_are_clusters(spark, monkeypatch):
+    """Shards at several cells, one cell of several shards, thousands of near-equal vectors: recall against brute force."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((12, 32)) * 3
+    x = np.concatenate([centre[rng.integers(0, 12, 2000)] + rng.standard_normal((2000, 32)), centre[3] + 0.01 * rng.standard_normal((1200, 32))]).astype(np.float32)
+    visited = []
+    probes = hnsw.probes
+    monkeypatch.setattr(hnsw, "probes", lambda *a: visited.append(probes(*a)) or visited[-1])
+    df = table(spark, [(k, v.tolist(), 0, "") for k, v in enumerate(x)]).repartition(4)
+    got: dict[int, list] = {}
+    for r in hnsw.search(df, F.col("vec_id") % 20 == 0, shard=256).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    every = x.astype(np.float64)
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = every @ every[q]
+        s[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+    assert len(got) == len(range(0, len(x), 20)) and all(len(v) == 20 for v in got.values())
+    assert visited[0] < 10
