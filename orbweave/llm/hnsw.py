@@ -63,13 +63,23 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, far
 
 
-def _links(x: np.ndarray, most: int) -> np.ndarray:
-    """Links of each row: diverse near points, both ways, at most ``most``; -1 where there are fewer."""
+def _links(x: np.ndarray, most: int, above: np.ndarray) -> np.ndarray:
+    """Links of each row: diverse near points, both ways, at most ``most``; -1 where there are fewer.
+
+    A quarter of those that a row chooses is left for its nearest rows of the sparser level ``above``, as in a dense
+    group all the nearest ones are of that group.
+    """
     n = len(x)
     if n < 2:
         return np.full((n, most), -1, np.int32)
-    pool = min(POOL, n - 1)
-    near, far = _nearest(x, pool)
+    near, far = _nearest(x, min(POOL, n - 1))
+    dense = near.shape[1]
+    if len(above):
+        d = (x * x).sum(1)[:, None] + (x[above] * x[above]).sum(1)[None] - 2 * x @ x[above].T
+        d[above, np.arange(len(above))] = np.inf
+        top = np.argsort(d, 1, kind="stable")[:, : POOL // 4]
+        near, far = np.concatenate([near, above[top]], 1), np.concatenate([far, np.take_along_axis(d, top, 1)], 1)
+    pool = near.shape[1]
     chosen = np.zeros((n, pool), bool)
     for a in range(0, n, 1024):
         y = x[near[a : a + 1024]]
@@ -78,7 +88,7 @@ def _links(x: np.ndarray, most: int) -> np.ndarray:
         own, blocked = far[a : a + 1024], np.zeros(near[a : a + 1024].shape, bool)
         took = np.zeros(len(own), np.int64)
         for t in range(pool):
-            ok = ~blocked[:, t] & (took < most // 2)
+            ok = ~blocked[:, t] & (took < (most // 2 if t >= dense or not len(above) else most // 2 - most // 8)) & np.isfinite(own[:, t])
             chosen[a : a + 1024, t] = ok
             took += ok
             blocked |= ok[:, None] & (between[:, t] < own)
@@ -105,7 +115,7 @@ class Graph:
         self.members, self.links = [], []
         for level in range(int(height.max(initial=0)) + 1):
             members = np.flatnonzero(height >= level).astype(np.int32)
-            links = _links(self.x[members], 2 * LINKS if not level else LINKS)
+            links = _links(self.x[members], 2 * LINKS if not level else LINKS, np.flatnonzero(height[members] > level))
             self.members.append(members)
             self.links.append(np.where(links >= 0, members[links], -1).astype(np.int32))
 
@@ -256,7 +266,7 @@ def probes(classes: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int
     return int(np.searchsorted(np.cumsum(held) / held.sum(), found - 1e-12)) + 1
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 160, shard: int = SHARD, found: float = 0.98) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 240, shard: int = SHARD, found: float = 0.995) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``rows`` (vec_id, embedding) with ``is_query``."""
     spark = rows.sparkSession
     ready(spark)
