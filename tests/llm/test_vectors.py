@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbweave.llm import embedding_dedup, hnsw
@@ -24,8 +25,11 @@ def test_needed_is_a_binomial_tail():
     assert needed(10, 0.5, 0.0) == 0
 
 
-def test_embedding_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+@pytest.mark.parametrize(("block", "few"), [(64, 2), (16, 0), (8, 100)])
+def test_embedding_near_duplicates(spark, monkeypatch, block, few):
+    """Links, counts and components against brute force, with up to three sorted projections; all candidates as pairs, and all in blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "FEW", few)
     x, rows, bad = sample()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows])
