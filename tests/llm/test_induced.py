@@ -30,7 +30,9 @@ def texts():
 @pytest.mark.parametrize("keep", [2, 1 << 18])
 def test_against_brute_force(tmp_path, cap, keep):
     for text in texts():
-        assert suffix_array(text, cap, str(tmp_path), keep) == brute(text, cap), text
+        for folder in (str(tmp_path), None):
+            got = suffix_array(text, cap, folder, keep)
+            assert ([int(x) for x in got[0]], [int(x) for x in got[1]]) == brute(text, cap), text
     assert not list(tmp_path.iterdir())
 
 
@@ -56,3 +58,15 @@ def test_matcher_agrees_with_the_hashed_one():
     parts = [bytes(rng.randrange(256) for _ in range(20)) + shared[a : a + 50] + bytes(rng.randrange(3) for _ in range(30)) for a in range(0, 40, 3)]
     for mine, theirs in zip(matcher(parts, 40), suffix_dedup.hashed_matcher(parts, 40), strict=True):
         assert (mine == theirs).all()
+
+
+def test_queues_merge_their_runs(tmp_path):
+    from orbweave.llm import induced
+
+    rng, queue = random.Random(4), Queue(str(tmp_path), 3)
+    want = [(rng.randrange(10_000), k) for k in range(2000)]
+    for x in want:
+        queue.push(x)
+        assert len(queue.heads) <= induced.FAN + 1
+    for x in sorted(want):
+        assert queue.pop() == x
