@@ -111,8 +111,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float
 
     Accelerated gradient steps with restarts, from zero; deterministic.
     """
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    col = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
     each = ratio[col]
     n, m = len(rows), len(ratio)
     size = np.bincount(of, each * each, n).max(initial=0) + 1
@@ -167,17 +167,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [plain(x) for x in b.column(0).to_pylist()]
-            own: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+            own: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
             for of, feature in present(texts, mask.value):
                 for k in np.unique(of):
-                    own[k] = feature[of == k]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int64()))], names=["y", "features"])
+                    own[k] = feature[of == k].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in own], pa.binary())], names=["y", "features"])
 
-    got = sample.mapInArrow(lists, "y int, features array<long>").toArrow()
+    got = sample.mapInArrow(lists, "y int, features binary").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    rows = [column[np.array(x, np.int64)] for x in got.column("features").to_pylist()]
+    rows = [column[np.frombuffer(x.as_py(), np.int32)] for x in got.column("features")]
     weights, intercept = fit(rows, y, ratio, penalty)
     prior = np.log(counts[1] / counts[0]) - np.log(n1 / n0)  # the sample holds more of the rarer class
     return Model(kept, weights, float(intercept + prior))
