@@ -42,27 +42,30 @@ class Written:
             self.table = f"orbweave_{uuid.uuid4().hex}"
             df.repartition(parts, by).write.option("compression", "zstd").option("path", self.path).bucketBy(parts, by).sortBy(by).saveAsTable(self.table)
             self.df = self.spark.table(self.table)
-        _known(self.spark).append(self)
+        _known(self.spark)[self.path] = self.table
 
     def drop(self) -> None:
-        if self.table:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        if self in _known(self.spark):
-            _known(self.spark).remove(self)
+        _delete(self.spark, self.path)
 
 
-def _known(spark: SparkSession) -> list[Written]:
+def _known(spark: SparkSession) -> dict[str, str | None]:
+    """Paths of the session's tables, and the names of those that have one; nothing that would keep a plan alive."""
     if not hasattr(spark.sparkContext, "_orbweave_tables"):
-        spark.sparkContext._orbweave_tables = []
+        spark.sparkContext._orbweave_tables = {}
     return spark.sparkContext._orbweave_tables
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    table = _known(spark).pop(at, None)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession) -> int:
     """Delete all tables that this session still has in the shared folder, once their results aren't needed any more."""
-    tables = list(_known(spark))
-    for t in tables:
-        t.drop()
-    return len(tables)
+    paths = list(_known(spark))
+    for at in paths:
+        _delete(spark, at)
+    return len(paths)
