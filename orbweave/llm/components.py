@@ -4,7 +4,8 @@ Alternating large-star and small-star rounds: each keeps the components and turn
 their smallest node in a logarithmic number of rounds, whatever their shape. A round is an aggregation with
 partial sums and an equi-join, so a node with very many neighbours is combined before the shuffle and its
 join partition can be split by adaptive execution; no group is ever gathered in one task. Before each round,
-every partition contracts its own edges to a spanning forest, which usually leaves little to do.
+every partition contracts its own edges to a spanning forest, which usually leaves little to do. As soon as no more
+than ``AT_ONCE`` edges are left (16 MB), one task contracts them all, which is the result.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if not state["n"] or state == last or done == rounds:
             return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().unionAll(now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last, done = state, done + 1
+        if state["n"] <= AT_ONCE // 2:
+            step = Written(contract(now.df.coalesce(1)), "edges")
+            now.drop()
+            now, rounds = step, done
+            continue
         for large in (True, False):
             step = Written(contract(_star(now.df, large)).distinct(), "edges")
             now.drop()

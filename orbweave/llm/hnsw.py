@@ -266,7 +266,7 @@ def probes(classes: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int
     return int(np.searchsorted(np.cumsum(held) / held.sum(), found - 1e-12)) + 1
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 240, shard: int = SHARD, found: float = 0.995) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 192, shard: int = SHARD, found: float = 0.995) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``rows`` (vec_id, embedding) with ``is_query``."""
     spark = rows.sparkSession
     ready(spark)

@@ -27,6 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -333,14 +334,14 @@ def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): links that connect all texts (k, text, n) of SHORT shingles, or little more, to what is similar to them.
+    """(u, v): links that connect all texts (k, z, n) of SHORT shingles, or little more, to what is similar to them.
 
     Of n shingles, the rarest first, two similar texts share one of the first ``n - ceil(similarity * n) + 1`` of each.
     Those that share one are compared exactly (``similar_sets``).
     """
     ready(texts.sparkSession)
-    few = texts.filter(F.col("n") <= int(SHORT / similarity)).select("k", "text").mapInArrow(as_sets(words, listed=True), "k long, h binary, t array<long>")
-    sets = Written(few.dropDuplicates(["k"]), "short").df
+    few = texts.filter(F.col("n") <= int(SHORT / similarity)).select("k", "z").mapInArrow(as_sets(words, listed=True), "k long, h binary, t array<long>")
+    sets = Written(few, "short").df
     each = sets.select("k", F.explode("t").alias("t"))
     rare = each.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     of = each.join(rare, "t").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("common"))  # at most 80 each
@@ -351,11 +352,12 @@ def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def as_sets(words: int, listed: bool = False):
-    """For mapInArrow over (k, text): k and the set of shingles as bytes, and ``listed`` too."""
+    """For mapInArrow over (k, z), z a compressed text: k and the set of shingles as bytes, and ``listed`` too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            sets = [shingles(x, words).view(np.int64) for x in as_bytes(b.column(1))]
+            sets = [shingles(unpack.decompress(x), words).view(np.int64) for x in b.column(1).to_pylist()]
             columns = [b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], names=["k", "h", "t"]) if listed else pa.RecordBatch.from_arrays(columns, names=["k", "h"])
 
@@ -365,7 +367,7 @@ def as_sets(words: int, listed: bool = False):
 def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float, recall: float) -> DataFrame:
     """(u, v): verified links between ``classes`` (k, signs, n), enough of them to connect each group.
 
-    ``texts`` (k, text, n) has the text of each class, ``n`` is its number of shingles.
+    ``texts`` (k, z, n) has the compressed text of each class, ``n`` is its number of shingles.
 
     Pairs are candidates if a partition of their long fingerprints is equal in both: all pairs that differ in
     fewer bits than there are partitions, by the pigeonhole principle with every threshold 0, and pairs at the
@@ -473,7 +475,7 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
     kinds = of_many.groupBy("value").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
     crowd = Written(of_many.join(kinds, "value", "left_semi"), "crowd").df
     nodes = near.select(F.col("u").alias("k")).unionAll(near.select(F.col("v").alias("k"))).unionAll(crowd.select("k")).distinct()
-    sets = Written(texts.join(nodes, "k", "left_semi").select("k", "text").mapInArrow(as_sets(words), "k long, h binary").dropDuplicates(["k"]), "sets").df
+    sets = Written(texts.join(nodes, "k", "left_semi").select("k", "z").mapInArrow(as_sets(words), "k long, h binary"), "sets").df
     pairs = near.join(sets.withColumnsRenamed({"k": "u", "h": "hu"}), "u").join(sets.withColumnsRenamed({"k": "v", "h": "hv"}), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,21 +503,22 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
         for b in batches:
             sets = [shingles(x, words) for x in as_bytes(b.column(2))]
             found = [long_fingerprint(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), b.column(2)], names=["id", "th", "k", "signs", "n", "text"])
+            packed = pa.array([packer.compress(x) for x in as_bytes(b.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), packed], names=["id", "th", "k", "signs", "n", "z"])
 
     ready(docs.sparkSession)
     text = F.col("text").cast("string")
     key, of_text = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
-    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary, n long, text string"), "fingerprinted").df
+    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary, n long, z binary"), "fingerprinted").df
     classes = Written(rows.groupBy("k").agg(F.min("id").alias("id")), "classes").df
-    reps = rows.drop("text").join(classes, ["k", "id"], "left_semi")
-    signs = Written(reps.dropDuplicates(["k"]).select("k", "signs", "n", "id"), "signs")
-    texts = rows.join(signs.df.select("k", "id"), ["k", "id"], "left_semi").select("k", "text", "n")
-    joined = components(similar(signs.df, texts, words, similarity, recall))
-    signs.drop()
+    # of each class one row; rows that repeat the id and the text's class are alike in what is used of them
+    reps = Written(rows.drop("th").join(classes, ["k", "id"], "left_semi").dropDuplicates(["k"]), "representatives")
+    joined = components(similar(reps.df.select("k", "signs", "n"), reps.df.select("k", "z", "n"), words, similarity, recall))
+    reps.drop()
     of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
     chosen = Written(rows.select("id", "k", "th").join(best, ["id", "k"]).groupBy("id", "k").agg(F.min("th").alias("th")).select("id", "th"), "chosen").df
