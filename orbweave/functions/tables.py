@@ -6,8 +6,11 @@ that loses one starts again from the last table and not from the edge list.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +72,17 @@ def discard(spark: SparkSession) -> int:
     for at in paths:
         _delete(spark, at)
     return len(paths)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[Written]]:
+    """Within it, append to the list which of the tables written are to stay; the others are deleted at its end.
+
+    Then the driver collects its garbage, without which Spark keeps the shuffle files of jobs that are done.
+    """
+    before, keep = set(_known(spark)), []
+    yield keep
+    for at in set(_known(spark)) - before - {x.path for x in keep}:
+        _delete(spark, at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

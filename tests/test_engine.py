@@ -151,3 +151,14 @@ def test_tables_are_discarded(spark):
     engine.run(graph(spark, SAMPLE), alg.Components())
     assert discard(spark) > 0
     assert discard(spark) == 0
+
+
+def test_temporary_tables_go(spark):
+    from orbweave.functions.tables import Written, discard, temporary
+
+    discard(spark)
+    with temporary(spark) as keep:
+        Written(spark.range(3).toDF("id"), "a")
+        keep.append(Written(spark.range(4).toDF("id"), "b"))
+    assert keep[0].df.count() == 4
+    assert discard(spark) == 1
