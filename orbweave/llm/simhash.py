@@ -35,7 +35,7 @@ from xxhash import xxh64_intdigest
 
 from orbweave.llm.components import components, contract, forest
 from orbweave.llm.meeting import blocked, similar_sets, spanning
-from orbweave.llm.store import Written, as_bytes, fresh, ready
+from orbweave.llm.store import Written, as_bytes, fresh, ready, temporary
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: _BITS[k][b]: whether bit k of byte b is set
@@ -396,6 +396,12 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
     similar (by four and five standard errors), and what is left is verified on the sets of shingles. Values that
     more than TOGETHER share, or that lie in two tasks, go to ``similar_sets``: all their members are compared.
     """
+    with temporary(classes.sparkSession) as keep:
+        keep.append(Written(_probed(classes, texts, words, similarity, width, start, stop), "links"))
+    return keep[0].df
+
+
+def _probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, start: int, stop: int) -> DataFrame:
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(SIGNS * differ + 5 * np.sqrt(SIGNS * differ * (1 - differ)))
     loose = int(128 * differ + 4 * np.sqrt(128 * differ * (1 - differ)))
@@ -488,7 +494,7 @@ def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], names=["u", "v"])
 
-    verified = Written(pairs.mapInArrow(verify, "u long, v long"), "verified").df
+    verified = pairs.mapInArrow(verify, "u long, v long")
     return verified if crowd.isEmpty() else verified.unionAll(similar_sets(crowd, sets, similarity))
 
 
@@ -513,18 +519,21 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
     ready(docs.sparkSession)
     text = F.col("text").cast("string")
     key, of_text = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
-    rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary, n long, z binary"), "fingerprinted").df
-    classes = Written(rows.groupBy("k").agg(F.min("id").alias("id")), "classes").df
-    # of each class one row; rows that repeat the id and the text's class are alike in what is used of them
-    reps = Written(rows.drop("th").join(classes, ["k", "id"], "left_semi").dropDuplicates(["k"]), "representatives")
-    joined = components(similar(reps.df.select("k", "signs", "n"), reps.df.select("k", "z", "n"), words, similarity, recall))
-    reps.drop()
-    of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
-    chosen = Written(rows.select("id", "k", "th").join(best, ["id", "k"]).groupBy("id", "k").agg(F.min("th").alias("th")).select("id", "th"), "chosen").df
+    with temporary(docs.sparkSession) as keep:
+        rows = Written(docs.select(key.alias("id"), of_text.alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, k long, signs binary, n long, z binary"), "fingerprinted").df
+        classes = Written(rows.groupBy("k").agg(F.min("id").alias("id")), "classes").df
+        # of each class one row; rows that repeat the id and the text's class are alike in what is used of them
+        reps = Written(rows.drop("th").join(classes, ["k", "id"], "left_semi").dropDuplicates(["k"]), "representatives")
+        joined = components(similar(reps.df.select("k", "signs", "n"), reps.df.select("k", "z", "n"), words, similarity, recall))
+        reps.drop()
+        of = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        best = of.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select("best.id", "best.k")
+        chosen = Written(rows.select("id", "k", "th").join(best, ["id", "k"]).groupBy("id", "k").agg(F.min("th").alias("th")).select("id", "th"), "chosen")
+        keep.append(chosen)
+        repeated = not rows.join(chosen.df, ["id", "th"], "left_semi").groupBy("id", "th").count().filter("count > 1").isEmpty()
     id_, th, all_ = fresh(docs, "id", "th", "all")
-    left = docs.withColumns({id_: key, th: of_text}).join(chosen.withColumnsRenamed({"id": id_, "th": th}), [id_, th], "left_semi")
-    if not rows.join(chosen, ["id", "th"], "left_semi").groupBy("id", "th").count().filter("count > 1").isEmpty():
+    left = docs.withColumns({id_: key, th: of_text}).join(chosen.df.withColumnsRenamed({"id": id_, "th": th}), [id_, th], "left_semi")
+    if repeated:
         left = left.withColumn(all_, F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
         least = left.groupBy(id_, th).agg(F.min(all_).alias(all_))
         left = left.join(least, [id_, th, all_], "left_semi").dropDuplicates([id_, th])

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions.tables import Written, shared_dir
+from orbweave.functions.tables import Written, shared_dir, temporary
 
-__all__ = ["Written", "as_bytes", "below_rate", "blocks", "fold", "fresh", "ready", "shared_dir"]
+__all__ = ["Written", "as_bytes", "below_rate", "blocks", "fold", "fresh", "ready", "shared_dir", "temporary"]
 
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows would hold too many of them at once.
 BATCH_ROWS = 512

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from orbweave.llm.store import Written, as_bytes, fresh, ready
+from orbweave.llm.store import Written, as_bytes, fresh, ready, temporary
 
 LENGTH = 400
 K = 128
@@ -299,13 +299,19 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher, keep_scan: bool = True, unit: type = np.uint8):
+        with temporary(docs.sparkSession) as keep:
+            self._find(docs, length, k, matcher, keep_scan, unit, keep)
+
+    def _find(self, docs: DataFrame, length: int, k: int, matcher: Callable, keep_scan: bool, unit: type, keep: list[Written]) -> None:
         size = np.dtype(unit).itemsize
         scanned = Written(scan(docs, length, k, unit), "scan")
         all_ = scanned.df
         self.scanned = all_.drop("runs")
-        self.classes = Written(all_.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes").df
+        classes = Written(all_.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
+        self.classes = classes.df
         ones = all_.filter(F.col("n") >= length).join(self.classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
         run = Written(ones.select("doc_id", "k1", "k2", F.explode("runs").alias("r")).select("doc_id", "k1", "k2", "r.*", F.xxhash64("k1", "k2", "r.i").alias("o")), "runs")
+        keep += [classes] + [scanned] * keep_scan
         if not keep_scan:
             scanned.drop()
         marked = Written(marks(run.df).select("doc_id", "k1", "k2", "h", "i", "j", "kinds", "whole", "compare"), "marked").df
@@ -325,7 +331,9 @@ class Repeats:
         edges = Written(compressed(docs, length).join(asked.hint("merge"), ["doc_id", "k1", "k2"]).mapInArrow(cut, "h long, k1 long, k2 long, i int, bytes binary, kinds long"), "edges").df
         found = settled(edges, length, k, matcher, unit).unionAll(marked.filter("whole").select("k1", "k2", "i", "j"))
         single = found.join(self.classes.filter("copies = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
-        self.ranges = Written(single.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "j")).alias("ranges")), "ranges").df
+        ranges = Written(single.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "j")).alias("ranges")), "ranges")
+        keep.append(ranges)
+        self.ranges = ranges.df
 
 
 def digest(docs: DataFrame, length: int = LENGTH, k: int = K, matcher: Callable = hashed_matcher) -> DataFrame:
