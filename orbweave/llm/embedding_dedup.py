@@ -49,6 +49,8 @@ BOXES, SORTED = 16, 7
 ROUNDING = 0.004
 #: Candidates for each row of two blocks up to which they go on as pairs.
 FEW = 2
+#: Blocks that a task cuts at least, on average: a range cut finer leaves blocks short, and many more of them to meet.
+CUT = 4
 #: Tasks among which the pairs of a label's blocks are dealt.
 SALTS = 32
 
@@ -139,7 +141,9 @@ def blocked(classes: DataFrame) -> DataFrame:
         cell = cell * 4 + F.when(F.col("levels") > k, slab).otherwise(0)
     placed = joined.withColumn("cell", cell).withColumn("last", F.col("at")[F.col("levels")]).select("grp", "dim", "cell", "last", "k1", "v", "copies", "ps")
     order = ["grp", "dim", "cell", "last"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, "id long, grp long, dim int, lo array<double>, hi array<double>, keys binary, sizes binary, ps binary, vs binary")
+    parts = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(parts, projected.count() // (CUT * BLOCK)))
+    return placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(cut, "id long, grp long, dim int, lo array<double>, hi array<double>, keys binary, sizes binary, ps binary, vs binary")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-4) -> DataFrame:
