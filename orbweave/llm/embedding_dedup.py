@@ -7,9 +7,9 @@ around the other whose half width is that spread at the threshold. Pairs that co
 right at the threshold misses with a chance of at most ``miss`` (a binomial tail), nearer pairs less.
 
 Within a label, vectors are sorted by several projections: into four slabs of even size by the first, each of these by
-the next, and so on until slabs hold about ``BLOCK`` vectors, which are sorted by one projection more and cut into
-blocks (range partitions, so that no label lies in one task). A block knows the interval that it covers on ``BOXES``
-projections. Two blocks meet if they come within 4.5 spreads on each that was sorted by, and 5 on the others: of
+the next, and so on until slabs hold about ``BLOCK`` vectors, which are sorted by one projection more (in range
+partitions, so that no label lies in one task). Ranks in this order, whatever the ranges, deal each label into equal
+blocks of at most ``BLOCK``. A block knows the interval that it covers on ``BOXES`` projections. Two blocks meet if they come within 4.5 spreads on each that was sorted by, and 5 on the others: of
 vectors without clusters a share that falls with every projection sorted by, of clustered ones few.
 
 Blocks that meet bring their projections only, as half-precision numbers. Windows are counted there as arrays: ``FIRST``
@@ -34,7 +34,7 @@ from math import comb, erf, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.components import components, contract, forest
@@ -49,8 +49,6 @@ BOXES, SORTED = 16, 7
 ROUNDING = 0.004
 #: Candidates for each row of two blocks up to which they go on as pairs.
 FEW = 2
-#: Blocks that a task cuts at least, on average: a range cut finer leaves blocks short, and many more of them to meet.
-CUT = 4
 #: Tasks among which the pairs of a label's blocks are dealt.
 SALTS = 32
 
@@ -110,7 +108,7 @@ def blocked(classes: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        made = 0
+        made, of = 0, None
         schema = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("keys", pa.binary()), ("sizes", pa.binary()), ("ps", pa.binary()), ("vs", pa.binary())])
 
         def flush() -> pa.RecordBatch:
@@ -124,9 +122,10 @@ def blocked(classes: DataFrame) -> DataFrame:
 
         for b in batches:
             for r in b.to_pylist():
-                if held and (len(held) == BLOCK or (held[-1]["grp"], held[-1]["dim"]) != (r["grp"], r["dim"])):
+                if held and of != (r["grp"], r["dim"], r["block"]):
                     yield flush()
                 held.append(r)
+                of = r["grp"], r["dim"], r["block"]
         if held:
             yield flush()
 
@@ -141,9 +140,16 @@ def blocked(classes: DataFrame) -> DataFrame:
         cell = cell * 4 + F.when(F.col("levels") > k, slab).otherwise(0)
     placed = joined.withColumn("cell", cell).withColumn("last", F.col("at")[F.col("levels")]).select("grp", "dim", "cell", "last", "k1", "v", "copies", "ps")
     order = ["grp", "dim", "cell", "last"]
-    parts = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(parts, projected.count() // (CUT * BLOCK)))
-    return placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(cut, "id long, grp long, dim int, lo array<double>, hi array<double>, keys binary, sizes binary, ps binary, vs binary")
+    laid = Written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "laid").df.withColumn("part", F.shiftright("row", 33))
+    # one row for each label in each range
+    runs = laid.groupBy("grp", "dim", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    label = Window.partitionBy("grp", "dim")
+    runs = runs.withColumn("before", F.sum("n").over(label.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(label))
+    size = F.ceil(F.col("all") / F.ceil(F.col("all") / BLOCK))
+    ranked = laid.join(runs.select("grp", "dim", "part", "first", "before", size.alias("size")), ["grp", "dim", "part"])
+    key = ["grp", "dim", "block"]
+    dealt = ranked.withColumn("block", F.floor((F.col("row") - F.col("first") + F.col("before")) / F.col("size"))).select(*key, "k1", "v", "copies", "ps")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(cut, "id long, grp long, dim int, lo array<double>, hi array<double>, keys binary, sizes binary, ps binary, vs binary")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-4) -> DataFrame:
