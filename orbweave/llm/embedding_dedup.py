@@ -138,7 +138,7 @@ def blocked(classes: DataFrame) -> DataFrame:
     for k in range(SORTED):
         slab = sum((F.col("at")[k] > F.col("cuts")[k][c]).cast("long") for c in range(3))
         cell = cell * 4 + F.when(F.col("levels") > k, slab).otherwise(0)
-    placed = joined.withColumn("cell", cell).withColumn("last", F.col("at")[F.col("levels")]).select("grp", "dim", "cell", "last", "k1", "v", "copies", "ps")
+    placed = joined.withColumn("cell", cell).withColumn("last", F.col("at")[F.col("levels")]).select("grp", "dim", "cell", "last", "k1")
     order = ["grp", "dim", "cell", "last"]
     laid = Written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "laid").df.withColumn("part", F.shiftright("row", 33))
     # one row for each label in each range
@@ -148,7 +148,9 @@ def blocked(classes: DataFrame) -> DataFrame:
     size = F.ceil(F.col("all") / F.ceil(F.col("all") / BLOCK))
     ranked = laid.join(runs.select("grp", "dim", "part", "first", "before", size.alias("size")), ["grp", "dim", "part"])
     key = ["grp", "dim", "block"]
-    dealt = ranked.withColumn("block", F.floor((F.col("row") - F.col("first") + F.col("before")) / F.col("size"))).select(*key, "k1", "v", "copies", "ps")
+    at = ranked.withColumn("block", F.floor((F.col("row") - F.col("first") + F.col("before")) / F.col("size"))).select(*key, "k1")
+    # vectors move only now, by class and then by block
+    dealt = at.join(projected.select("k1", "v", "copies", "ps"), "k1").select(*key, "k1", "v", "copies", "ps")
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(cut, "id long, grp long, dim int, lo array<double>, hi array<double>, keys binary, sizes binary, ps binary, vs binary")
 
 
