@@ -6,12 +6,12 @@ as they can be while no source's budget repeats it more than ``repeats`` times.
 aggregation over the sources that tries ``GRID`` exponents at once; sources are never collected.
 
 A source's budget is its weight times all tokens to spend. It is spent in epochs. Every epoch deals the
-source's documents in its own order: blocks (about ``PER_BLOCK`` documents by a hash of the id, more where a source
-would have over ``BLOCKS`` of them) by a hash of epoch and block, and a block's documents by a hash of epoch and id. Full epochs take
-every document; the last takes documents in order as long as they fit, or, on request, if it is the only one, all
-that start within the budget, so that no source is left out and rounding loses no document. Prefix sums run over a source's blocks
-(bounded) and within the one block where the budget ends, so a source of any size is dealt without bringing
-it together.
+source's documents in its own order: blocks (about ``PER_BLOCK`` documents by a hash of the id) by a hash of epoch and
+block, and a block's documents by a hash of epoch and id. Full epochs take every document; the last takes documents in
+order as long as they fit, or, on request, if it is the only one, all that start within the budget, so that no source is
+left out and rounding loses no document. Prefix sums run over the 4096 ``HEAD``s (first digits) of a source's block
+hashes, over the blocks of the one where the budget ends, and within the one block there, so a source of any size is
+dealt without bringing it together.
 
 Tokens of a document: one, and one for every four bytes of UTF-8. Edge cases: null and empty texts have one
 token; a null source is a source of its own; rows with null or repeated ids are documents of their own,
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orbweave.llm.store import Written
@@ -31,7 +31,8 @@ from orbweave.llm.store import Written
 GRID = 64
 ROUNDS = 5
 PER_BLOCK = 256
-BLOCKS = 4096
+#: Hexadecimal digits of a block's hash that its head has.
+HEAD = 3
 NONE = "\x01none"
 
 
@@ -107,7 +108,7 @@ def plan(light: DataFrame, entropy: float | None = None, repeats: float | None =
     spend = int(part * all_tokens)
     budget = F.floor(F.col("weight") * F.lit(float(spend))).cast("long")
     planned = (
-        weighted.withColumn("blocks", F.least(F.lit(BLOCKS), F.ceil(F.col("docs") / PER_BLOCK)).cast("long"))
+        weighted.withColumn("blocks", F.ceil(F.col("docs") / PER_BLOCK).cast("long"))
         .withColumn("budget", budget)
         .withColumn("epochs", F.floor(F.col("budget") / F.col("total")).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("total"))
@@ -128,10 +129,17 @@ def cuts(rows: DataFrame, made: Plan, seed: int, started: bool = False) -> DataF
     if started:
         rows = rows.withColumn("rest", F.when(F.col("epochs") == 0, F.greatest("rest", F.lit(1))).otherwise(F.col("rest")))
     placed = rows.withColumn("block", _block(F.coalesce("doc_id", F.lit(-1)), F.col("blocks"), seed))
-    sums = Written(placed.groupBy("source", "epochs", "rest", "block").agg(F.sum("tokens").alias("sum")).withColumn("block_key", _hash(seed, F.col("epochs"), F.col("source"), F.col("block"))), "blocks").df
-    in_order = Window.partitionBy("source").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = sums.withColumn("before", F.coalesce(F.sum("sum").over(in_order), F.lit(0)))
-    cut = dealt.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))).select("source", "block", "block_key", "before")
+    sums = Written(placed.groupBy("source", "epochs", "rest", "block").agg(F.sum("tokens").alias("sum")).withColumn("block_key", _hash(seed, F.col("epochs"), F.col("source"), F.col("block"))).withColumn("head", F.substring("block_key", 1, HEAD)), "blocks").df
+    ends_here = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))
+
+    def summed(window: WindowSpec) -> Column:
+        return F.coalesce(F.sum("sum").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    heads = sums.groupBy("source", "rest", "head").agg(F.sum("sum").alias("sum"))
+    heads = heads.withColumn("before", summed(Window.partitionBy("source").orderBy("head"))).filter(ends_here)
+    near = sums.join(heads.select("source", "head", F.col("before").alias("ahead")), ["source", "head"])
+    dealt = near.withColumn("before", F.col("ahead") + summed(Window.partitionBy("source", "head").orderBy("block_key", "block")))
+    cut = dealt.filter(ends_here).select("source", "block", "block_key", "before")
     one = placed.join(cut, ["source", "block"]).withColumn("doc_key", _hash(seed, F.col("epochs"), F.coalesce("doc_id", F.lit(-1))))
     upto = Window.partitionBy("source", "block").orderBy("doc_key", "tokens").rangeBetween(Window.unboundedPreceding, 0)
     within = F.col("before") + F.sum("tokens").over(upto) <= F.col("rest")
@@ -208,7 +216,7 @@ WITH RECURSIVE light AS MATERIALIZED (
 ), w AS (
   SELECT s.*, round(pow(total / everything, a) / sum(pow(total / everything, a)) OVER (), 12) AS weight, everything FROM s, t, x
 ), b AS (
-  SELECT *, floor(weight * everything)::BIGINT AS budget, least({BLOCKS}, ceil(docs / {PER_BLOCK}))::BIGINT AS blocks FROM w
+  SELECT *, floor(weight * everything)::BIGINT AS budget, ceil(docs / {PER_BLOCK})::BIGINT AS blocks FROM w
 ), p AS MATERIALIZED (
   SELECT source, blocks, budget // total AS epochs, budget % total AS rest FROM b
 ), d AS MATERIALIZED (

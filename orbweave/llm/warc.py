@@ -8,13 +8,15 @@ dates), the revisit stands for that response's body, with its headers updated by
 
 The join sorts all captures by range of (canonical URL, time), so a URL with any share of all captures is
 spread over tasks; each task carries the latest full response along its rows, and what a task can't know - the
-latest response before its first row - is carried over from summaries, one row a task.
+latest response before its first row - is carried over from summaries, one row a task; the driver sees those without
+headers.
 
 Edge cases: records without a URL or date never match; of full responses captured at the same time the
 greater record id counts as later; a response captured at the same time as a revisit isn't earlier; a revisit
 without a validator in common with the response is ``unchecked`` and one whose validator differs is
 ``changed``, neither of them resolved; without an earlier response it is ``missing``; repeated rows are
-resolved each; an empty table gives an empty result.
+resolved each; a response without a record id resolves revisits, ``matched`` is null then; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -104,41 +106,42 @@ def resolve(captures: DataFrame) -> DataFrame:
                     out.append((record, here, at, said, response[0], list(merged(mine, theirs).items()) if said == "resolved" else None, task, False))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names=names)
-        if any_row:  # the summary: first and last URL, and the response that later tasks may need
-            row = (None, url, None, first_url, response[0] if response else None, response[1] if response else None, task, None)
+        if any_row:  # the summary: whether there is a response that later tasks may need, last and first URL, and that response
+            row = ("held" if response else None, url, None, first_url, response[0] if response else None, response[1] if response else None, task, None)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], names=names)
 
     rows = captures.filter(F.col("url").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin("response", "revisit"))
     rows = rows.select("record_id", "kind", canonical(F.col("url")).alias("url"), "at", "headers").withColumn("later", F.col("kind") == "response")
     order = ["url", "at", "later", "record_id"]
     walked = Written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(along, _ROW), "walked").df
+    ends = walked.filter("first is null")
     over: list[tuple] = []
-    url, response = None, None
-    for s in walked.filter("first is null").orderBy("task").collect():  # a row a task
-        if response is not None and s["outcome"] == url:
-            over.append((s["task"], url, response[0], response[1]))
-        if s["matched"] is not None:
-            response = (s["matched"], s["headers"])
+    url, holder = None, None
+    for s in ends.select("task", "url", "outcome", "record_id").orderBy("task").collect():  # a row a task, without headers
+        if holder is not None and s["outcome"] == url:
+            over.append((s["task"], url, holder))
+        if s["record_id"] is not None:
+            holder = s["task"]
         elif s["url"] != url or s["outcome"] != url:
-            response = None
+            holder = None
         url = s["url"]
-    carried = spark.createDataFrame(over, "task int, url string, over string, theirs map<string,string>")
+    held = ends.select(F.col("task").alias("holder"), F.col("matched").alias("over"), F.col("headers").alias("theirs"))
+    carried = spark.createDataFrame(over, "task int, url string, holder int").join(held, "holder").withColumn("hit", F.lit(True)).drop("holder")
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said, heads = [], []
-            for now, over_, mine, theirs in zip(*(b.column(c).to_pylist() for c in ("outcome", "over", "headers", "theirs")), strict=True):
-                if over_ is None:
-                    said.append(now), heads.append(mine if now == "resolved" else None)
-                    continue
+            for hit, mine, theirs in zip(*(b.column(c).to_pylist() for c in ("hit", "headers", "theirs")), strict=True):
                 a, z = _named(mine), _named(theirs)
-                said.append(outcome(a, z)), heads.append(list(merged(a, z).items()) if said[-1] == "resolved" else None)
-            matched = [x if o is None else o for x, o in zip(b.column("matched").to_pylist(), b.column("over").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("url"), b.column("at"), pa.array(said, pa.string()), pa.array(matched, pa.string()), pa.array(heads, pa.map_(pa.string(), pa.string()))], names=["record_id", "url", "at", "outcome", "matched", "headers"])
-
-    found = walked.filter("first is not null")
-    joined = found.join(F.broadcast(carried.withColumn("first", F.lit(True))), ["task", "url", "first"], "left")
-    resolved = joined.mapInArrow(late, "record_id string, url string, at timestamp, outcome string, matched string, headers map<string,string>")
+                said.append(outcome(a, z) if hit else "missing")
+                heads.append(list(merged(a, z).items()) if said[-1] == "resolved" else None)
+            yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("url"), b.column("at"), pa.array(said, pa.string()), b.column("over"), pa.array(heads, pa.map_(pa.string(), pa.string()))], names=["record_id", "url", "at", "outcome", "matched", "headers"])
+
+    columns = ["record_id", "url", "at", "outcome", "matched", "headers"]
+    done = walked.filter("first = false").select(*columns[:-1], F.when(F.col("outcome") == "resolved", F.col("headers")).alias("headers"))
+    # only revisits before a task's first response of its first URL wait for other tasks
+    waiting = walked.filter("first").select("record_id", "url", "at", "headers", "task").join(carried, ["task", "url"], "left")
+    resolved = done.unionByName(waiting.mapInArrow(late, "record_id string, url string, at timestamp, outcome string, matched string, headers map<string,string>"))
     rest = captures.filter((F.col("url").isNull() | F.col("at").isNull()) & (F.col("kind") == "revisit"))
     return resolved.unionByName(rest.select("record_id", canonical(F.col("url")).alias("url"), "at", F.lit("missing").alias("outcome"), F.lit(None).cast("string").alias("matched"), F.lit(None).cast("map<string,string>").alias("headers")))
 

@@ -14,12 +14,16 @@ def docs(spark):
     return spark.createDataFrame([*rows, (None, None, None, ""), (5, "", "s1", ""), (5, "", "s1", "")], SCHEMA).repartition(3)
 
 
-def test_repeats_against_sql(spark):
+@pytest.mark.parametrize("per_block", [mixing.PER_BLOCK, 2])
+def test_repeats_against_sql(spark, monkeypatch, per_block):
+    """Also with so small blocks that a source has hundreds, most of them with a head of their own."""
+    sql = mixing.ORACLE.replace(f"docs / {mixing.PER_BLOCK}", f"docs / {per_block}")
+    monkeypatch.setattr(mixing, "PER_BLOCK", per_block)
     df = docs(spark).filter("doc_id IS NOT NULL")
     con = duckdb.connect()
     con.register("documents", df.toPandas())
     got = mixing.mix(df, repeats=1.25)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.ORACLE})").fetchall()
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

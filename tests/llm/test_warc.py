@@ -1,6 +1,7 @@
 import datetime
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from orbweave.llm import page_captures, warc
@@ -45,9 +46,10 @@ def test_resolve(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
-def test_a_url_over_many_tasks(spark):
-    """One URL has nearly all captures, and responses are rare: most rows need what an earlier task saw."""
-    rows = [row(f"f{k:05d}", "response", f"http://h/{k % 4}", k * 1000, etag=f'"{k}"') for k in range(12)]
+@pytest.mark.parametrize("named", [True, False])
+def test_a_url_over_many_tasks(spark, named):
+    """One URL has nearly all captures, and responses are rare: most rows need what an earlier task saw. Also where responses have no record id."""
+    rows = [row(f"f{k:05d}" if named else None, "response", f"http://h/{k % 4}", k * 1000, etag=f'"{k}"') for k in range(12)]
     rows += [row(f"r{k:05d}", "revisit", "http://h/1", k, etag=f'"{k // 4000 * 4 + 1}"') for k in range(0, 12_000, 7)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
@@ -59,7 +61,7 @@ def test_a_url_over_many_tasks(spark):
     for k in range(0, 12_000, 7):
         last = max((x for x in (1, 5, 9) if x * 1000 < k), default=None)
         said = "missing" if last is None else "resolved" if last == k // 4000 * 4 + 1 else "changed"
-        assert got[f"r{k:05d}"] == (said, None if last is None else f"f{last:05d}"), k
+        assert got[f"r{k:05d}"] == (said, None if last is None or not named else f"f{last:05d}"), k
 
 
 def test_files(spark, tmp_path):
