@@ -35,7 +35,7 @@ from xxhash import xxh64_intdigest
 
 from orbweave.llm.components import components, contract, forest
 from orbweave.llm.meeting import blocked, similar_sets, spanning
-from orbweave.llm.store import Written, as_bytes, fresh, ready, temporary
+from orbweave.llm.store import Written, as_bytes, below_rate, fresh, ready, temporary
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: _BITS[k][b]: whether bit k of byte b is set
@@ -96,13 +96,14 @@ def together(fps: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def grouped(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """The 64 bits in ``m`` groups of even size, each grown by the bit most correlated with it."""
+    """The bits in ``m`` groups of even size, each grown by the bit most correlated with it."""
+    bits = len(both)
     p = both.diagonal() / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     near = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
-    free, groups = set(range(64)), []
+    free, groups = set(range(bits)), []
     for k in range(m):
-        size = 64 // m + (k < 64 % m)
+        size = bits // m + (k < bits % m)
         group = [max(sorted(free), key=lambda b: near[b, sorted(free)].sum())]
         free.discard(group[0])
         while len(group) < size:
@@ -118,26 +119,33 @@ def mask(bits: list[int] | tuple[int, ...]) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def within(equal: float, disagree: np.ndarray, t: int) -> float:
-    """Pairs within ``t`` bits of a group, from those equal in it and each bit's rate of disagreement."""
+def apart(disagree: np.ndarray, t: int) -> np.ndarray:
+    """How many times as many pairs differ in 0 to ``t`` bits of a group as in none, from each bit's rate of disagreement."""
     odds = disagree / np.maximum(1 - disagree, 1e-9)
     ways = np.zeros(t + 1)
     ways[0] = 1
     for x in odds:
         ways[1:] += ways[:-1] * x
-    return float(equal * ways.sum())
+    return ways
 
 
-def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds, one a group and at least -1, that sum to ``total`` at the least cost.
+def within(equal: float, disagree: np.ndarray, t: int) -> float:
+    """Pairs within ``t`` bits of a group, from those equal in it and each bit's rate of disagreement."""
+    return float(equal * apart(disagree, t).sum())
+
+
+def allocate(costs: list[list[float]], total: int, least: int = -1) -> tuple[float, list[int]]:
+    """Thresholds, one a group and at least ``least``, that sum to ``total`` at the least cost.
 
     ``costs[i][t]``: what threshold t costs in group i; -1, not probing it, costs nothing.
     """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in costs:
+    for k, row in enumerate(costs, 1):
         following: dict[int, tuple[float, list[int]]] = {}
         for s, (cost, chosen) in best.items():
-            for t in range(-1, len(row)):
+            for t in range(least, len(row)):
+                if s + t + least * (len(costs) - k) > total:
+                    break
                 one = (cost + (row[t] if t >= 0 else 0.0), [*chosen, t])
                 if s + t not in following or one < following[s + t]:
                     following[s + t] = one
@@ -278,6 +286,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 
 #: Signs in a long fingerprint: a power of 4.
 SIGNS = 4096
+#: Long fingerprints, about, that groups and thresholds are planned from, and groups that are grown from the same signs.
+SAMPLE, POOL = 4096, 4
 #: Members of a value that are compared by 128 signs at once. Where there are more, their sets are, block by block.
 TOGETHER = 16
 #: Texts of at most so many shingles find all that is similar to them by the shingles themselves. Signs of sums of a few
@@ -314,23 +324,86 @@ def _hadamard() -> np.ndarray:
 _HADAMARD = _hadamard()
 
 
+def number(width: int, similarity: float, recall: float) -> int:
+    """How many groups of so many signs, in one of which a pair of this similarity agrees with this chance."""
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - apart_at(similarity)) ** width))))
+
+
+def apart_at(similarity: float) -> float:
+    """The share of signs that differ at this similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def partitions(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Width and number of the partitions of long fingerprints of ``n`` texts.
+    """Largest width of groups of signs and their number, for long fingerprints of ``n`` texts and thresholds of 0.
 
-    Wide enough that unrelated texts share about one value a partition, and so many that a pair of this
+    Wide enough that unrelated texts share about one value a group, and so many that a pair of this
     similarity agrees in one of them with this chance. Where the signs don't last for that many, the width stays
     at the largest that they last for: unrelated texts then share values, which costs time, not pairs.
     """
-    rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-
-    def number(width: int) -> int:
-        return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - rate) ** width))))
-
-    fit = [w for w in range(10, 33) if number(w) * w <= SIGNS - 128]
+    fit = [w for w in range(10, 33) if number(w, similarity, recall) * w <= SIGNS - 128]
     if not fit:
         raise ValueError(f"{SIGNS} signs can't find pairs at a similarity of {similarity} with a chance of {recall}")
     width = min(max(fit), max(10, int(np.ceil(np.log2(max(n, 2))))))
-    return width, number(width)
+    return width, number(width, similarity, recall)
+
+
+def pooled(bits: np.ndarray, width: int, m: int) -> list[list[int]]:
+    """``m`` groups of ``width`` signs that are correlated in these fingerprints (rows), POOL groups from the same signs."""
+    groups = []
+    for a in range(0, m, POOL):
+        some = min(POOL, m - a)
+        x = bits[:, a * width : (a + some) * width].astype(np.float32)
+        groups += [[a * width + b for b in g] for g in grouped(len(x), (x.T @ x).astype(np.float64), some)]
+    return groups
+
+
+def meetings(equal: float, disagree: np.ndarray, t: int) -> float:
+    """How often two fingerprints meet in a value of a group that both are put under all values within ``t`` bits of."""
+    width = len(disagree)
+
+    def shared(d: int) -> int:  # values within t bits of both of two that differ in d
+        return sum(comb(d, x) * comb(width - d, y) for x in range(d + 1) for y in range(width - d + 1) if max(x, d - x) + y <= t)
+
+    return float(equal * sum(n * shared(d) for d, n in enumerate(apart(disagree, 2 * t))))
+
+
+def arranged(bits: np.ndarray, n: int, similarity: float, recall: float) -> list[tuple[list[int], int]]:
+    """Groups of signs and their thresholds, for ``n`` long fingerprints of which ``bits`` (rows) are a sample.
+
+    As for short ones: correlated signs share a group, the number ``m`` of groups comes from comparing the results of
+    a dynamic program, and its thresholds sum to ``distance - m + 1``. The distance is one less than the groups
+    that find a pair of this similarity with the chance ``recall`` at thresholds of 0. What differs in no more
+    of the grouped signs is found for certain, and every m has to keep that chance for a pair at the similarity. Such a
+    pair is mostly further apart than that, so that each group counts and none is left out (-1). The sample is
+    for costs: which pairs share a value is counted in it, and scaled to n.
+    """
+    widest, _ = partitions(n, similarity, recall)
+    p = bits.mean(0)
+    found = []
+    # narrower groups are fewer, and as long as unrelated texts share a value with four others at most, still well apart
+    for width in range(min(widest, max(10, int(np.ceil(np.log2(n / 4))))), widest + 1):
+        parts = number(width, similarity, recall)
+        groups = pooled(bits, width, parts)
+        disagree = [2 * p[g] * (1 - p[g]) for g in groups]
+        # of a pair at the similarity, signs differ more often where they do so more often in all pairs
+        scale = apart_at(similarity) / max(float(np.mean(disagree)), 1e-9)
+        rates = [np.minimum(x * scale, 0.5) for x in disagree]
+        equal = [n + n * (n - 1) * same(bits[:, g]) for g in groups]
+        costs = [[PROBE_COST * n * sum(comb(width, j) for j in range(t + 1)) + meetings(e, x, t) for t in range(3)] for e, x in zip(equal, disagree, strict=True)]
+        for m in range(max(1, parts - 2), parts + 1):
+            cost, t = allocate(costs[:m], parts - m, 0)
+            missed = np.prod([1 - within(float(np.prod(1 - r)), r, x) for r, x in zip(rates, t, strict=False)])
+            if m == parts or 1 - missed >= recall:
+                found.append((cost, width, m, list(zip(groups, t, strict=False))))
+    return min(found)[3]
+
+
+def same(bits: np.ndarray) -> float:
+    """The share of all pairs of rows that are equal."""
+    values = np.sort(bits @ (1 << np.arange(bits.shape[1], dtype=np.int64)))
+    c = np.diff(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])))
+    return float((c * (c - 1.0)).sum() / max(1, len(bits) * (len(bits) - 1)))
 
 
 def short_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -369,43 +442,53 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
 
     ``texts`` (k, z, n) has the compressed text of each class, ``n`` is its number of shingles.
 
-    Pairs are candidates if a partition of their long fingerprints is equal in both: all pairs that differ in
-    fewer bits than there are partitions, by the pigeonhole principle with every threshold 0, and pairs at the
-    similarity with the chance ``recall``. (Thresholds above 0 for a certain find at this distance, a seventh
-    of all bits, would probe a large share of all pairs.) Partitions are probed in two passes: what a few of
-    them link is joined first, and the rest then looks only for pairs that aren't joined yet, so that a group
-    of n copies gives some multiple of n links and its borderline members are still asked for everywhere.
+    By the generalised pigeonhole principle: correlated signs of the long fingerprints are in groups, each with its own
+    threshold (``arranged``), and pairs within the threshold of a group are candidates: all that differ in fewer
+    of the grouped signs than there would be groups with threshold 0, and pairs at the similarity with the chance
+    ``recall``. (A certain find at this distance, a seventh of all signs, would probe a large share of all pairs.)
+    Groups are probed in two passes: what a few of them link is joined first, and the rest then looks only for pairs
+    that aren't joined yet, so that a group of n copies gives some multiple of n links and its borderline members are
+    still asked for everywhere.
     """
-    n = classes.count()
-    width, parts = partitions(n, similarity, recall)
-    first = -(-parts // 6)
+    links = short_links(texts, words, similarity)
+    n, of_signs = classes.agg(F.count("*"), F.count_if(F.col("n") > SHORT)).first()
+    if not of_signs:
+        return links
     classes = classes.filter(F.col("n") > SHORT)
+    sample = classes.filter(below_rate(F.col("k"), 37, SAMPLE / of_signs)).select("signs").toArrow().column(0).to_pylist()
+    groups = list(enumerate(arranged(np.unpackbits(np.frombuffer(b"".join(sample), np.uint8).reshape(len(sample), -1), axis=1), n, similarity, recall)))
+    first = -(-len(groups) // 6)
     labelled = classes.select("k", "signs", F.col("k").alias("label"))
-    links = short_links(texts, words, similarity).unionAll(probed(labelled, texts, words, similarity, width, 0, first))
-    if first == parts:
+    links = links.unionAll(probed(labelled, texts, words, similarity, groups[:first]))
+    if first == len(groups):
         return links
     joined = components(links, rounds=1).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("component"))
     labelled = classes.join(joined, "k", "left").select("k", "signs", F.coalesce("component", "k").alias("label"))
-    return links.unionAll(probed(labelled, texts, words, similarity, width, first, parts))
+    return links.unionAll(probed(labelled, texts, words, similarity, groups[first:]))
+
 
+def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, groups: list[tuple[int, tuple[list[int], int]]]) -> DataFrame:
+    """(u, v): verified links between ``classes`` (k, signs, label) of different labels that are within the threshold of one of these groups.
 
-def probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, start: int, stop: int) -> DataFrame:
-    """(u, v): verified links between ``classes`` (k, signs, label) of different labels that share one of these partitions.
+    ``groups``: a number, and the signs and the threshold that go with it; all have the same width.
 
     The few members of a value are compared by 128 signs kept for that; all signs then leave out what is far from
     similar (by four and five standard errors), and what is left is verified on the sets of shingles. Values that
     more than TOGETHER share, or that lie in two tasks, go to ``similar_sets``: all their members are compared.
     """
     with temporary(classes.sparkSession) as keep:
-        keep.append(Written(_probed(classes, texts, words, similarity, width, start, stop), "links"))
+        keep.append(Written(_probed(classes, texts, words, similarity, groups), "links"))
     return keep[0].df
 
 
-def _probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, width: int, start: int, stop: int) -> DataFrame:
-    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+def _probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float, groups: list[tuple[int, tuple[list[int], int]]]) -> DataFrame:
+    differ = apart_at(similarity)
     most = int(SIGNS * differ + 5 * np.sqrt(SIGNS * differ * (1 - differ)))
     loose = int(128 * differ + 4 * np.sqrt(128 * differ * (1 - differ)))
-    parts = stop - start
+    order = np.array([g for _, (g, _) in groups])
+    width = order.shape[1]
+    # each group's own value and those within its threshold
+    which, key, flip = np.array([(a, i << 32, mask(c)) for a, (i, (_, t)) in enumerate(groups) for r in range(t + 1) for c in combinations(range(width), r)], np.int64).T
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(width, dtype=np.int64)
@@ -413,9 +496,9 @@ def _probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
             k, label = b.column(0).to_numpy(), b.column(2).to_numpy()
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(k), -1)
             aux = np.ascontiguousarray(raw[:, -16:]).view("<i8")
-            bits = np.unpackbits(raw, axis=1)[:, width * start : width * stop].reshape(len(k), parts, width)
-            value = (bits @ power) | (np.arange(start, stop, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, parts)) for x in (k, aux[:, 0], aux[:, 1], label))], names=["value", "k", "aux", "aux2", "label"])
+            own = np.unpackbits(raw, axis=1)[:, order] @ power
+            value = own[:, which] ^ flip | key
+            yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, len(which))) for x in (k, aux[:, 0], aux[:, 1], label))], names=["value", "k", "aux", "aux2", "label"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = crowded = None  # the task's first value, and one that is known to have many members
@@ -498,7 +581,7 @@ def _probed(classes: DataFrame, texts: DataFrame, words: int, similarity: float,
     return verified if crowd.isEmpty() else verified.unionAll(similar_sets(crowd, sets, similarity))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """One row of each group of near duplicates in ``docs``, with all its columns: one with the smallest doc_id.
 
     Near duplicates have shingle sets of this Jaccard similarity or more, or are linked by such: every link is

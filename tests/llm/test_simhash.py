@@ -111,6 +111,55 @@ def test_partitions_keep_the_recall_at_any_size():
         simhash.partitions(100, 0.1, 0.98)
 
 
+def test_correlated_signs_share_a_group():
+    """Signs that copy one of the sources of their pool, with noise, are grouped by source; every sign is used once."""
+    rng = np.random.default_rng(7)
+    width, parts = simhash.partitions(1000, 0.8, 0.99)
+    bits = rng.integers(0, 2, (2000, simhash.SIGNS)).astype(np.uint8)
+    source = {}
+    for a in range(0, parts, simhash.POOL):
+        some = min(simhash.POOL, parts - a)
+        source |= {j: (a, j % some) for j in range(a * width, (a + some) * width)}
+    copied = rng.integers(0, 2, (2000, parts)).astype(np.uint8)
+    for j, (a, k) in source.items():
+        bits[:, j] = copied[:, a + k] ^ (rng.random(2000) < 0.1)
+    found = simhash.arranged(bits, 1000, 0.8, 0.99)
+    assert sorted(j for g, _ in found for j in g) == list(range(len(found) * width))
+    assert all(len(g) == width and len({source[j] for j in g}) == 1 for g, _ in found)
+    assert len(found) + sum(t for _, t in found) == parts
+
+
+def test_thresholds_leave_out_a_group_that_all_share():
+    """Ten signs are the same everywhere: to probe a neighbour more widely costs less than to compare all with all there."""
+    rng = np.random.default_rng(9)
+    width, parts = simhash.partitions(1000, 0.8, 0.99)
+    bits = rng.integers(0, 2, (1000, simhash.SIGNS)).astype(np.uint8)
+    assert [t for _, t in simhash.arranged(bits, 1000, 0.8, 0.99)] == [0] * parts
+    constant = set(range((parts - 1) * width, parts * width))
+    bits[:, sorted(constant)] = 1
+    found = simhash.arranged(bits, 1000, 0.8, 0.99)
+    assert sorted(t for _, t in found) == [0] * (parts - 2) + [1]
+    assert not constant & {j for g, _ in found for j in g}
+
+
+def test_keep_one_probes_within_thresholds(spark, monkeypatch):
+    """All similar pairs that are within the threshold of a group are found, and nothing that isn't similar."""
+    groups = [(list(range(0, 24, 2)), 1), (list(range(30, 42)), 0), (list(range(1, 24, 2)), 2)]
+    monkeypatch.setattr(simhash, "arranged", lambda *_: groups)
+    rng = random.Random(10)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    texts = []
+    for _ in range(120):
+        base = [word() for _ in range(200)]
+        texts += [base, base[:-18] + [word() for _ in range(18)]]
+    signs = [np.unpackbits(np.frombuffer(simhash.long_fingerprint(simhash.shingles(" ".join(t).encode(), 5))[1], np.uint8)) for t in texts]
+    near = [[k for k in range(0, 240, 2) if any((signs[k][g] != signs[k + 1][g]).sum() <= (t if wide else 0) for g, t in groups)] for wide in (True, False)]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(k, " ".join(t), "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)).collect()}
+    gone = set(range(240)) - got
+    assert {k + 1 for k in near[0]} <= gone <= set(range(1, 240, 2))
+    assert len(near[1]) < len(near[0]) < 120
+
+
 def labels_of(nodes, pairs):
     label = {x: x for x in nodes}
     while True:
