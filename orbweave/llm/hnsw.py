@@ -10,8 +10,13 @@ run both ways. The graph is kept as flat arrays: vectors, and for each level its
 neighbours, ``-1`` for none.
 
 A search goes greedily down to the lowest level and there keeps the ``beam`` best points, expanding the best
-unexpanded ones until none is left; a block of queries advances together. Each shard's ``k`` best are scored
-exactly, in double precision on the original vectors, and the shards' results merged.
+unexpanded ones until none is left; a block of queries advances together. All points of a beam are scored
+exactly, in double precision on the original vectors, and the ``k + 1`` best of each shard merged, ties to smaller ids.
+
+A graph is tried when it is made (``width``): queries of the calibration that visit its shard, and vectors of the shard
+itself, are searched and compared with all vectors of the shard. If a beam, or twice its width, doesn't find the share
+``found`` of both groups' neighbours (many ties, norms of very different sizes, many dimensions without clusters), the
+shard is scanned: its queries are multiplied with all its vectors, a bounded block at a time.
 
 A query visits the shards of the cells that are nearest to it: as many cells as hold the share ``found`` of the true
 neighbours of ``CALIBRATE`` queries, drawn by a hash of their ids and compared with every vector (``probes``). Where
@@ -47,6 +52,8 @@ QUERIES = 1024
 CELLS, SAMPLE, CALIBRATE = 1024, 8192, 200
 #: Blocks of queries that one copy of a shard's graph serves.
 TOGETHER = 8
+#: Vectors of a shard that its graph is tried with, and the queries that are scanned at once.
+TRIED, SCANNED = 64, 256
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,33 +222,94 @@ def nearest_cells(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, 1, kind="stable")[:, :n] if n > 1 else d.argmin(1)[:, None]
 
 
-def index(placed: DataFrame, largest: float) -> DataFrame:
-    """(shard, dim, keys, vs, members, links): a graph per shard over ``placed`` (k1, v, shard, dim)."""
+def points(v: np.ndarray) -> np.ndarray:
+    """A shard's vectors as points, lifted by its own largest norm: single precision is lost beside far larger ones."""
+    return lifted(v, np.linalg.norm(v, axis=1).max())
+
+
+def foremost(at: np.ndarray, point: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` rows of each query ``at`` with the largest scores, ties to smaller points."""
+    order = np.lexsort((point, -score, at))
+    at, point, score = at[order], point[order], score[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], point[keep], score[keep]
+
+
+def product(q: np.ndarray, v: np.ndarray, at: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, the same whichever pairs are asked for together."""
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[at[a : a + 65536]], v[point[a : a + 65536]]) for a in range(0, len(at), 65536))])
+
+
+def scan(v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, point number, score) of the ``k`` largest products of each query, ties to smaller points."""
+    found, k, norm = [], min(k, len(v)), np.linalg.norm(v, axis=1).max()
+    for a in range(0, len(q), SCANNED):
+        part = q[a : a + SCANNED]
+        s = part @ v.T
+        least = np.partition(s, len(v) - k, 1)[:, len(v) - k]
+        at, point = np.nonzero(s >= (least - 1e-12 * norm * np.linalg.norm(part, axis=1))[:, None])
+        at, point, score = foremost(at, point, product(part, v, at, point), k)
+        found.append((at + a, point, score))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def walk(g: Graph, v: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, of the points that a search with ``beam`` ends with."""
+    at, point = g.search(asked(q), beam, beam)
+    return foremost(at, point, product(q, v, at, point), k)
+
+
+def width(g: Graph, v: np.ndarray, tries: list[np.ndarray], k: int, beam: int, found: float) -> int:
+    """The beam with which the graph finds the share ``found`` of the ``k`` best of each group of queries; 0 if none does."""
+    sure = [(q, scan(v, q, k)) for q in tries if len(q)]
+    for wide in (beam, 2 * beam):
+        if all(np.isin(at * len(v) + point, got[0] * len(v) + got[1]).mean() >= found for q, (at, point, _) in sure for got in [walk(g, v, q, k, wide)]):
+            return wide
+    return 0
+
+
+def index(placed: DataFrame, tests: np.ndarray, centroids: np.ndarray, visit: int, k: int, beam: int, found: float) -> DataFrame:
+    """(shard, dim, beam, keys, vs, members, links): a graph per shard over ``placed`` (k1, first, v, shard, dim), or none and a beam of 0.
+
+    Points are numbered by ``first``, the smallest id that has the vector.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast((tests, nearest_cells(asked(tests), centroids, len(centroids))[:, :visit] if len(tests) else None, centroids.shape[1] - 1))
 
     def build(table: pa.Table) -> pa.Table:
-        k = table.column("k1").to_numpy()
-        order = np.argsort(k)
+        tests, visited, wide = shared.value
+        k1 = table.column("k1").to_numpy()
+        order = np.argsort(table.column("first").to_numpy(), kind="stable")
         vs = table.column("v").to_pylist()
         raw = b"".join(vs[i] for i in order)
-        x = lifted(np.frombuffer(raw, "<f8").reshape(len(k), -1), largest)
-        draw = ((k[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+        v = np.frombuffer(raw, "<f8").reshape(len(k1), -1)
+        x = points(v)
+        draw = ((k1[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
         height = np.minimum((-np.log(np.minimum(draw, 1)) / np.log(LINKS)).astype(np.int64), 8)
-        members, links = Graph(x, height).parts()
+        g = Graph(x, height)
+        own = v[np.unique(np.linspace(0, len(v) - 1, TRIED).astype(int))]
+        cell = table.column("shard")[0].as_py() % CELLS
+        theirs = tests[(visited == cell).any(1)] if len(tests) and v.shape[1] == wide else tests[:0]
+        fit = width(g, v, [own, theirs], k + 1, max(beam, k + 1), found)
+        members, links = g.parts() if fit else ([], [])
         first = table.slice(0, 1)
-        return pa.table([first.column("shard"), first.column("dim"), pa.array([k[order].tobytes()]), pa.array([raw]), pa.array([members], pa.list_(pa.binary())), pa.array([links], pa.list_(pa.binary()))], names=["shard", "dim", "keys", "vs", "members", "links"])
+        return pa.table([first.column("shard"), first.column("dim"), pa.array([fit], pa.int32()), pa.array([k1[order].tobytes()]), pa.array([raw]), pa.array([members], pa.list_(pa.binary())), pa.array([links], pa.list_(pa.binary()))], names=["shard", "dim", "beam", "keys", "vs", "members", "links"])
+
+    return placed.select("shard", "dim", "k1", "first", "v").groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, beam int, keys binary, vs binary, members array<binary>, links array<binary>")
+
 
-    return placed.select("shard", "dim", "k1", "v").groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, keys binary, vs binary, members array<binary>, links array<binary>")
+def drawn(queries: DataFrame, dim: int) -> np.ndarray:
+    """At most CALIBRATE of the ``queries`` (vec_id, v)."""
+    vs = queries.select("v").orderBy(F.xxhash64("vec_id", F.lit(3)), "v").limit(CALIBRATE).toArrow().column("v").to_pylist()
+    return np.array([np.frombuffer(v, "<f8") for v in vs]).reshape(len(vs), dim)
 
 
-def probes(classes: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, found: float) -> int:
+def probes(classes: DataFrame, q: np.ndarray, centroids: np.ndarray, k: int, found: float) -> int:
     """How many cells a query visits so that these hold the share ``found`` of the k nearest ``classes`` (v, cell).
 
-    By the true neighbours, in double precision, of at most CALIBRATE of the ``queries`` (vec_id, v).
+    By the true neighbours, in double precision, of the queries ``q``.
     """
-    drawn = queries.select("v").orderBy(F.xxhash64("vec_id", F.lit(3)), "v").limit(CALIBRATE).toArrow().column("v").to_pylist()
-    if not drawn:
+    if not len(q):
         return 1
-    q = np.array([np.frombuffer(v, "<f8") for v in drawn])
     shared = classes.sparkSession.sparkContext.broadcast(q)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +342,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 192, shar
     by_age = Window.partitionBy("k1", "k2").orderBy("vec_id")
     members = Written(all_.select("k1", "k2", "vec_id").withColumn("nth", F.row_number().over(by_age)).filter(F.col("nth") <= k + 1), "members").df
     dim = (F.length("v") / 8).cast("int")
-    classes = Written(all_.groupBy("k1", "k2").agg(F.first("v").alias("v")).withColumn("dim", dim), "classes").df
+    classes = Written(all_.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.min("vec_id").alias("first")).withColumn("dim", dim), "classes").df
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,17 +366,18 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 192, shar
             if len(mine) and len(shared.value) > 1:
                 vs = b.column(1).to_pylist()
                 of[mine] = nearest_cells(lifted(np.array([np.frombuffer(vs[i], "<f8") for i in mine]), largest), shared.value, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of)], names=["k1", "v", "dim", "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of)], names=["k1", "v", "dim", "first", "cell"])
 
-    celled = Written(classes.select("k1", "v", "dim").mapInArrow(place, "k1 long, v binary, dim int, cell int"), "cells").df
+    celled = Written(classes.select("k1", "v", "dim", "first").mapInArrow(place, "k1 long, v binary, dim int, first long, cell int"), "cells").df
     # a row for each cell, and for each other length of vectors
     parts = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
     whole = celled.filter(F.col("dim") == wide).groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")).toArrow()
     of_cell = dict(zip(whole.column("cell").to_pylist(), whole.column("parts").to_pylist(), strict=True))  # at most CELLS
     placed = celled.join(parts, ["dim", "cell"]).withColumn("shard", (F.col("cell") + CELLS * F.pmod(F.xxhash64("k1", F.lit(2)), F.col("parts"))).cast("int"))
-    graphs = Written(index(placed, largest), "graphs").df
     queries = all_.filter(is_query).select("vec_id", "v")
-    visit = 1 if len(centroids) == 1 else probes(celled.filter(F.col("dim") == wide), queries.filter(dim == wide), centroids, k, found)
+    tests = drawn(queries.filter(dim == wide), wide)
+    visit = 1 if len(centroids) == 1 else probes(celled.filter(F.col("dim") == wide), tests, centroids, k, found)
+    graphs = Written(index(placed, tests, centroids, visit, k, beam, found), "graphs").df
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
@@ -340,21 +409,22 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, beam: int = 192, shar
     met = blocks.join(parts, ["dim", "cell"]).withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (F.col("cell") + CELLS * p).cast("int"))))
     copies = met.groupBy("shard", "dim").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("copies"))
     none = F.lit(None)
-    sent = graphs.join(copies, ["shard", "dim"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("shard", "dim", "copy", none.cast("binary").alias("ids"), none.cast("binary").alias("qs"), "keys", "vs", "members", "links")
-    put = met.join(copies, ["shard", "dim"]).select("shard", "dim", F.pmod(F.xxhash64("at"), F.col("copies")).cast("int").alias("copy"), "ids", "qs", none.cast("binary").alias("keys"), none.cast("binary").alias("vs"), none.cast("array<binary>").alias("members"), none.cast("array<binary>").alias("links"))
+    sent = graphs.join(copies, ["shard", "dim"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("shard", "dim", "copy", none.cast("binary").alias("ids"), none.cast("binary").alias("qs"), "beam", "keys", "vs", "members", "links")
+    put = met.join(copies, ["shard", "dim"]).select("shard", "dim", F.pmod(F.xxhash64("at"), F.col("copies")).cast("int").alias("copy"), "ids", "qs", none.cast("int").alias("beam"), none.cast("binary").alias("keys"), none.cast("binary").alias("vs"), none.cast("array<binary>").alias("members"), none.cast("array<binary>").alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, key, v = None, np.zeros(0, np.int64), np.zeros((0, 0))
+        g, fit, key, v = None, 0, np.zeros(0, np.int64), np.zeros((0, 0))
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r].as_py() for c in ("dim", "ids", "qs", "keys", "vs", "members", "links")}
+                row = {c: b.column(c)[r].as_py() for c in ("dim", "ids", "qs", "beam", "keys", "vs", "members", "links")}
                 if row["keys"] is not None:  # a shard's graph comes before its queries
                     key, v = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["vs"], "<f8").reshape(-1, row["dim"])
-                    g = Graph.of(lifted(v, largest), row["members"], row["links"])
+                    fit = row["beam"]
+                    g = Graph.of(points(v), row["members"], row["links"]) if fit else None
                     continue
                 ids, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["qs"], "<f8").reshape(-1, row["dim"])
-                at, point = g.search(asked(q), min(k + 1, len(v)), max(beam, k + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[point]), pa.array(np.einsum("ij,ij->i", q[at], v[point]))], names=["query_id", "k1", "score"])
+                at, point, score = walk(g, v, q, k + 1, fit) if g else scan(v, q, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[point]), pa.array(score)], names=["query_id", "k1", "score"])
 
     both = sent.unionAll(put).repartition("shard", "dim", "copy").sortWithinPartitions("shard", "dim", "copy", F.col("keys").isNull())
     hits = both.mapInArrow(run, "query_id long, k1 long, score double")

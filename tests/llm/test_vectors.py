@@ -97,3 +97,20 @@ def test_search_visits_few_cells_where_there_are_clusters(spark, monkeypatch):
     assert hits / (20 * len(got)) >= 0.9
     assert len(got) == len(range(0, len(x), 20)) and all(len(v) == 20 for v in got.values())
     assert visited[0] < 10
+
+
+@pytest.mark.parametrize("kind", ["norms", "ties", "wide"])
+def test_search_of_vectors_that_are_hard_for_a_graph(spark, kind):
+    """A few norms far above the others, products with many ties, many dimensions without clusters: the ids of brute force, ties to the smaller."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, {"norms": 24, "ties": 16, "wide": 192}[kind]))
+    x = {"norms": np.concatenate([x, 1e5 * x[:2]]), "ties": np.sign(x), "wide": x}[kind].astype(np.float32)
+    got: dict[int, list] = {}
+    for r in hnsw.search(table(spark, [(k, v.tolist(), 0, "") for k, v in enumerate(x)]).repartition(4), F.col("vec_id") % 20 == 0, shard=1000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    every = x.astype(np.float64)
+    hits = 0
+    for q in range(0, len(x), 20):
+        order = [k for k in np.lexsort((np.arange(len(x)), -(every @ every[q]))) if k != q][:20]
+        hits += len(set(got[q]) & set(order))
+    assert hits / (20 * len(got)) >= 0.98
