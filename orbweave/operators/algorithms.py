@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.columns import INFINITY
-from orbweave.operators.engine import Run, run
+from orbweave.operators.blocks import Kernel
+from orbweave.operators.engine import active, run
 from orbweave.operators.graph import Graph
 from orbweave.operators.program import Direction, Vertex, VertexProgram
 
@@ -29,6 +31,13 @@ class PageRank(VertexProgram):
     def apply(self, v: Vertex, total: Column) -> tuple[Column, Column]:
         return total * 0.15 + 0.85, F.lit(True)
 
+    def kernel(self) -> Kernel:
+        return Kernel(lambda ids: np.ones(len(ids)), lambda v, out: v / np.maximum(out, 1), np.add, 0.0, lambda ids, v, total: total * 0.15 + 0.85, "<f8")
+
+    def counter(self) -> tuple[Kernel, int]:
+        """Values are whether a vertex is active: it was reached from an active one."""
+        return Kernel(lambda ids: np.ones(len(ids), np.int64), lambda v, out: v, np.maximum, 0, lambda ids, v, total: total, tally=lambda old, new: int(new.sum())), 0
+
 
 class ShortestPaths(VertexProgram):
     """Hops from ``source`` along edges; INFINITY where it can't be reached in as many rounds."""
@@ -61,6 +70,14 @@ class ShortestPaths(VertexProgram):
     def scatter(self, v: Vertex, nbr: Vertex) -> Column:
         return v.value + 1 < nbr.value
 
+    def kernel(self) -> Kernel:
+        source = self.source
+        return Kernel(lambda ids: np.full(len(ids), INFINITY), lambda v, out: v, np.minimum, INFINITY, lambda ids, v, total: np.where(ids == source, 0, np.minimum(v, total + 1)))
+
+    def counter(self) -> tuple[Kernel, int]:
+        """Active are those whose value the next round changes."""
+        return self.kernel(), 1
+
 
 class Components(VertexProgram):
     """The smallest id within as many undirected hops as there are rounds; ids above INFINITY count as that."""
@@ -89,6 +106,13 @@ class Components(VertexProgram):
     def scatter(self, v: Vertex, nbr: Vertex) -> Column:
         return v.value < nbr.value
 
+    def kernel(self) -> Kernel:
+        return Kernel(lambda ids: ids, lambda v, out: v, np.minimum, INFINITY, lambda ids, v, total: np.minimum(v, total))
+
+    def counter(self) -> tuple[Kernel, int]:
+        """Active are those whose value the next round changes; ids above INFINITY change in the first one only."""
+        return self.kernel(), 1
+
 
 class KCore(VertexProgram):
     """Peels vertices with fewer than ``k`` living neighbours, in and out together; a dead vertex keeps its last count."""
@@ -122,6 +146,10 @@ class DenseKCore(KCore):
         new = F.when(v.value >= self.k, total).otherwise(v.value)
         return new, new != v.value
 
+    def kernel(self) -> Kernel:
+        k = self.k
+        return Kernel(lambda ids: np.full(len(ids), k), lambda v, out: (v >= k).astype(np.int64), np.add, 0, lambda ids, v, total: np.where(v >= k, total, v))
+
 
 class VectorShortestPaths(ShortestPaths):
     """Hop counts as one-element arrays: values may be nested."""
@@ -172,5 +200,4 @@ def k_core(graph: Graph, k: int = 0, max_iterations: int | None = None) -> DataF
 
 def iterations(graph: Graph, program: VertexProgram) -> DataFrame:
     """(iteration, active) of a run."""
-    done: Run = run(graph, program, counts=True)
-    return done.stats()
+    return graph.spark.createDataFrame(list(enumerate(active(graph, program))), "iteration long, active long")

@@ -11,7 +11,8 @@ Two ways to run, with the same values:
   Gives the counts of active vertices.
 * *dense*, for programs that allow it: all vertices apply in every round. Rounds need no scatter phase and
   several of them are planned as one job. The edges lie in buckets of the end that is looked up, so a round
-  shuffles messages and values only. A round that leaves every value as it was is the last one.
+  shuffles messages and values only. A round that leaves every value as it was is the last one. Programs with a
+  ``kernel`` run on arrays instead (``blocks``), with the same values; some count their active vertices there too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.tables import Written
+from orbweave.operators import blocks
 from orbweave.operators.graph import Graph
 from orbweave.operators.program import Direction, Vertex, VertexProgram
 
@@ -135,6 +137,13 @@ def run(graph: Graph, program: VertexProgram, counts: bool = False, max_iteratio
     cap = max(1, program.iterations if max_iterations is None else max_iterations)
     began = time.monotonic()
     dense = program.dense and not counts
+    kernel = program.kernel() if dense and "kernel" in vars(type(program)) else None
+    raw = _whole(graph) if kernel else None
+    if raw:
+        loaded = time.monotonic()
+        vertices, rounds, _ = blocks.run(raw[0].df, kernel, raw[1], program.gather_edges is Direction.ALL, cap, program.value_type)
+        raw[0].drop()
+        return Run(vertices.df, rounds, None, loaded - began, time.monotonic() - loaded)
     edges = Written(_oriented(graph.edges, program.gather_edges), "edges", by="nbr_id") if dense else Written(graph.edges, "edges")
     first = Written(initial(program, graph), "vertices")
     loaded = time.monotonic()
@@ -145,6 +154,31 @@ def run(graph: Graph, program: VertexProgram, counts: bool = False, max_iteratio
     return done
 
 
+def _whole(graph: Graph) -> tuple[Written, int] | None:
+    """The raw edges in a table, and their number; nothing if an end of one is null, which arrays don't hold."""
+    raw = Written(graph.raw, "edges")
+    n, src, dst = raw.df.agg(F.count("*"), F.count("src"), F.count("dst")).first()
+    if n == src == dst:
+        return raw, n
+    raw.drop()
+    return None
+
+
+def active(graph: Graph, program: VertexProgram) -> list[int]:
+    """The numbers of active vertices after each round, as of a run with ``counts``."""
+    counter = program.counter() if "counter" in vars(type(program)) else None
+    raw = _whole(graph) if counter else None
+    if not raw:
+        return run(graph, program, counts=True).active
+    kernel, lag = counter
+    vertices, _, tallies = blocks.run(raw[0].df, kernel, raw[1], program.gather_edges is Direction.ALL, program.iterations + lag, "long")
+    raw[0].drop()
+    vertices.drop()
+    tallies += tallies[-1:] * (program.iterations + lag - len(tallies))  # it ended where nothing changes any more
+    counts = tallies[lag:] or [0]
+    return counts[: counts.index(0) + 1] if 0 in counts else counts
+
+
 def _dense(program: VertexProgram, met: DataFrame, now: Written, cap: int) -> Run:
     done = 0
     while done < cap:

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orbweave.operators.blocks import Kernel
+
 
 class Direction(IntFlag):
     NONE = 0
@@ -51,6 +53,14 @@ class VertexProgram:
     #: counts of active vertices recomputes all of them, and needs no scatter phase.
     dense: bool = False
 
+    def kernel(self) -> Kernel | None:
+        """The same round on arrays, for a ``dense`` program; only the class that defines it uses it, not those derived from it."""
+        return None
+
+    def counter(self) -> tuple[Kernel, int] | None:
+        """A kernel whose tallies, from the given one on, are the numbers of active vertices after each round; as ``kernel``."""
+        return None
+
     def init(self, v: Vertex) -> tuple[Column, Column]:
         """First value, and whether the vertex is active in the first round."""
         raise NotImplementedError
